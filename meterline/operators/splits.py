@@ -57,7 +57,7 @@ def split_bounds(split: DataFrame, key: Sequence[str] = KEY, ts: str = "ts") ->
     )
 
 
-def test_rows(
+def held_out(
     df: DataFrame, key: Sequence[str] = KEY, ts: str = "ts", share: float = 0.9
 ) -> DataFrame:
     """Rows from the truncated 90 percent position on."""
