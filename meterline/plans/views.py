@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from meterline.functions.clock import floor_to
 from meterline.operators.features import feature_matrix
-from meterline.operators.regular import first_in_bin, resample
+from meterline.operators.regular import first_in_bin, join_weather, resample
 from meterline.session import use_utc
 
 
@@ -62,6 +62,11 @@ def weather15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_in_bin(weather10(spark, sf_dir), ["temp", "sun"])
 
 
+def regular_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid with filled weather."""
+    return join_weather(grid(spark, sf_dir), weather15(spark, sf_dir))
+
+
 def matrix(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     """Feature matrix of the grid with weather, calendar and statistics."""
     return feature_matrix(
