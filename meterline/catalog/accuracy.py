@@ -100,19 +100,30 @@ FOLD_ERRORS = f"""{POSITIONS}, sized AS (
 )"""
 
 
-@query("metrics_cube", f"WITH {FOLD_ERRORS} SELECT * FROM c")
+def _all_marked(df):
+    """``all`` and site 0 stand for all sites and targets."""
+    return df.fillna({"etype": "all", "site_id": 0, "target": "all"})
+
+
+ALL_MARKED = "coalesce(etype, 'all') AS etype, coalesce(site_id, 0) AS site_id, coalesce(target, 'all') AS target"
+
+
+@query(
+    "metrics_cube",
+    f"WITH {FOLD_ERRORS} SELECT fold, {ALL_MARKED}, n, mae, nmae, mape, mse, rmse, nrmse, r2 FROM c",
+)
 def metrics_cube(spark, sf):
-    return tidy(accuracy.metrics_cube(_fold_errors(spark, sf)))
+    return _all_marked(tidy(accuracy.metrics_cube(_fold_errors(spark, sf))))
 
 
 @query(
     "mean_over_folds",
-    f"""WITH {FOLD_ERRORS} SELECT etype, site_id, target, count(*) AS n_folds, {', '.join(f'round(avg({m}), 4) + 0.0::DOUBLE AS {m}' for m in ('mae', 'nmae', 'rmse', 'nrmse'))}
-FROM c GROUP BY 1, 2, 3""",
+    f"""WITH {FOLD_ERRORS} SELECT {ALL_MARKED}, count(*) AS n_folds, {', '.join(f'round(avg({m}), 7) + 0.0::DOUBLE AS {m}' for m in ('mae', 'nmae', 'rmse', 'nrmse'))}
+FROM c GROUP BY c.etype, c.site_id, c.target""",
 )
 def mean_over_folds(spark, sf):
-    means = accuracy.mean_over_folds(accuracy.metrics_cube(_fold_errors(spark, sf)))
-    return rounded(means.drop("mape", "mse"), "mae", "nmae", "rmse", "nrmse", digits=4)
+    means = accuracy.mean_over_folds(tidy(accuracy.metrics_cube(_fold_errors(spark, sf))))
+    return _all_marked(rounded(means.drop("mape", "mse"), "mae", "nmae", "rmse", "nrmse", digits=7))
 
 
 @query(

@@ -39,10 +39,10 @@ def _allocated(spark, sf):
 
 @query(
     "allocate",
-    f"""WITH {RECENT} SELECT site_id, site_id AS consumption_id, cons, prod, p + 0.0::DOUBLE AS p, p > 0 AS active, status FROM al2""",
+    f"""WITH {RECENT} SELECT site_id, site_id AS consumption_id, cons, prod, p + 0.0::DOUBLE AS p, coalesce(p > 0, false) AS active, status FROM al2""",
 )
 def allocate(spark, sf):
-    return _allocated(spark, sf).withColumn("p", F.col("p") + 0.0)
+    return _allocated(spark, sf).withColumns({"p": F.col("p") + 0.0, "active": F.coalesce("active", F.lit(False))})
 
 
 @query(

@@ -75,22 +75,20 @@ def with_position(
     )
 
 
-def fill(
-    df: DataFrame,
-    cols: Iterable[str],
-    key: Sequence[str] = KEY,
-    ts: str = "ts",
-    how: str = "both",
+def neighbours(
+    df: DataFrame, cols: Sequence[str], key: Sequence[str] = KEY, ts: str = "ts"
 ) -> DataFrame:
-    """Fill nulls from the last value before (``forward``), the next after (``backward``), or
-    forward first and then backward (``both``), over gaps of any length."""
-    if how not in ("both", "forward", "backward"):
-        raise ValueError(f"how is 'both', 'forward' or 'backward', not {how!r}")
-    cols = list(cols)
+    """Columns ``_prev_<c>`` and ``_next_<c>``: the last value of ``c`` that is not null up to the
+    row, and the first one from the row on, however far away.
+
+    Both are found inside the chunk first; the ends of the other chunks, one row per chunk, fill up
+    what is missing there.
+    """
     chunked = df.withColumn(CHUNK, F.floor(slot(F.col(ts)) / CHUNK_ROWS).cast("long"))
+    known = lambda c: F.when(F.col(c).isNotNull(), F.col(ts))
     ends = chunked.groupBy(*key, CHUNK).agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(ts))).alias(f"_last_{c}") for c in cols],
-        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(ts))).alias(f"_first_{c}") for c in cols],
+        *[F.max_by(c, known(c)).alias(f"_last_{c}") for c in cols],
+        *[F.min_by(c, known(c)).alias(f"_first_{c}") for c in cols],
     )
     by_chunk = Window.partitionBy(*key).orderBy(CHUNK)
     past = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
@@ -103,24 +101,38 @@ def fill(
     here = chunk_window(key, ts)
     upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     onward = here.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-
-    def filled(c: str) -> Column:
-        forward = [F.col(f"_up_{c}"), F.col(f"_from_{c}")]
-        backward = [F.col(f"_on_{c}"), F.col(f"_to_{c}")]
-        steps = {"forward": forward, "backward": backward, "both": forward + backward}[how]
-        return F.coalesce(*steps)
-
     scanned = chunked.select(
         *df.columns, CHUNK,
         *[F.last(c, ignorenulls=True).over(upto).alias(f"_up_{c}") for c in cols],
         *[F.first(c, ignorenulls=True).over(onward).alias(f"_on_{c}") for c in cols],
     )
     return scanned.join(carried, [*key, CHUNK]).select(
-        *[filled(c).alias(c) if c in cols else F.col(c) for c in df.columns]
+        *df.columns,
+        *[F.coalesce(f"_up_{c}", f"_from_{c}").alias(f"_prev_{c}") for c in cols],
+        *[F.coalesce(f"_on_{c}", f"_to_{c}").alias(f"_next_{c}") for c in cols],
+    )
+
+
+def fill(
+    df: DataFrame,
+    cols: Iterable[str],
+    key: Sequence[str] = KEY,
+    ts: str = "ts",
+    how: str = "both",
+) -> DataFrame:
+    """Fill nulls from the last value before (``forward``), the next after (``backward``), or
+    forward first and then backward (``both``), over gaps of any length."""
+    if how not in ("both", "forward", "backward"):
+        raise ValueError(f"how is 'both', 'forward' or 'backward', not {how!r}")
+    cols = list(cols)
+    sides = {"forward": ["prev"], "backward": ["next"], "both": ["prev", "next"]}[how]
+    filled = {c: F.coalesce(*[F.col(f"_{side}_{c}") for side in sides]) for c in cols}
+    return neighbours(df, cols, key, ts).select(
+        *[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns]
     )
 
 
-def ranked_values(df: DataFrame, key: Sequence[str], value: str, buckets: int = 256) -> DataFrame:
+def ranked_values(df: DataFrame, key: Sequence[str], value: str, buckets: int = 32) -> DataFrame:
     """Distinct values per group with their count, the rows ``below`` them and the rows ``total``.
 
     Equal values are merged first. The distinct values are cut at approximate quantiles into

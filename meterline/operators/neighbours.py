@@ -44,7 +44,9 @@ def _blocked(df: DataFrame, features: Sequence[str], key: Sequence[str], rows: i
         F.shiftright("_id", 33).alias("part"),
         F.floor(F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) / rows).alias("run"),
     )
-    return checkpointed(placed.withColumn("block", block).drop("_id"))
+    written = checkpointed(placed.withColumn("block", block).drop("_id"))
+    # Columns of their own, for train and test often are parts of one frame.
+    return written.select(*[F.col(f"`{c}`").alias(c) for c in written.columns])
 
 
 def _block_ranges(blocked: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -86,12 +88,7 @@ def _home_blocks(test: DataFrame, train: DataFrame, key: Sequence[str]) -> DataF
 
 
 def _search(
-    pairs: DataFrame,
-    test: DataFrame,
-    train: DataFrame,
-    key: Sequence[str],
-    k: int,
-    key_fields: list[T.StructField],
+    pairs: DataFrame, test: DataFrame, train: DataFrame, key: Sequence[str], k: int
 ) -> DataFrame:
     """The ``k`` nearest train rows of each test row, over the given pairs of blocks.
 
@@ -101,6 +98,7 @@ def _search(
     group = [*key, "test_block", "train_block"]
     left = test.withColumnRenamed("block", "test_block").join(pairs, [*key, "test_block"])
     right = train.withColumnRenamed("block", "train_block").join(pairs, [*key, "train_block"])
+    right = right.select(*[F.col(f"`{c}`").alias(c) for c in right.columns])
 
     def nearest(near: pd.DataFrame, far: pd.DataFrame) -> pd.DataFrame:
         if near.empty or far.empty:
@@ -130,7 +128,7 @@ def _search(
     found = (
         left.groupBy(*group)
         .cogroup(right.groupBy(*group))
-        .applyInPandas(lambda near, far: nearest(near, far), schema)
+        .applyInPandas(nearest, schema)
     )
     rank = F.row_number().over(Window.partitionBy("row_id").orderBy("dist", "y"))
     return found.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
@@ -152,7 +150,6 @@ def knn(
     distances at the border of the ``k`` are taken by ascending label.
     """
     key = list(key)
-    fields = [f for f in train.schema.fields if f.name in key]
     near = _blocked(test.select(*key, ts, *features), features, key, block_rows).withColumn(
         "row_id", F.xxhash64(*key, ts)
     )
@@ -162,7 +159,7 @@ def knn(
     )
     near_ranges, far_ranges = _block_ranges(near, key), _block_ranges(far, key)
     homes = _home_blocks(near_ranges, far_ranges, key)
-    first = _search(homes, near, far, key, k, fields)
+    first = _search(homes, near, far, key, k)
     # Distance of the k-th neighbour so far; without k of them nothing is ruled out.
     bound = first.groupBy("row_id").agg(
         F.when(F.count(F.lit(1)) >= k, F.max("dist")).otherwise(F.lit(float("inf"))).alias("reach")
@@ -182,7 +179,7 @@ def knn(
         .where((F.col("hi") >= F.col("_from")) & (F.col("lo") <= F.col("_to")))
         .select(*key, "test_block", "train_block")
     )
-    best = _search(checkpointed(pairs), near, far, key, k, fields)
+    best = _search(checkpointed(pairs), near, far, key, k)
     weight = 1 / F.col("dist")
     merged = best.groupBy("row_id").agg(
         F.avg(F.when(F.col("dist") == 0, F.col("y"))).alias("_same"),

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from meterline.functions.clock import floor_to
-from meterline.operators.chunks import CHUNK_ROWS, fill
-from meterline.session import KEY, STEP_SECONDS
+from meterline.operators.chunks import CHUNK_ROWS, fill, neighbours
+from meterline.session import KEY, STEP_SECONDS, stored
 
 
 def bin_sums(
@@ -95,7 +95,7 @@ def first_in_bin(
     firsts = df.groupBy(*key, floor_to(F.col(ts)).alias("ts")).agg(
         *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(ts))).alias(c) for c in cols]
     )
-    return regular_grid(firsts, key)
+    return regular_grid(stored(firsts, "step-firsts"), key)
 
 
 def group_sum(
@@ -113,8 +113,9 @@ def group_sum(
     """
     group = list(group)
     wanted = groups.select(*group, member).distinct()
-    rows = merge_duplicates(
-        series.join(wanted.select(member).distinct(), member, "left_semi"), [member]
+    rows = stored(
+        merge_duplicates(series.join(wanted.select(member).distinct(), member, "left_semi"), [member]),
+        "member-sums",
     )
     grid = holes_to_zero(regular_grid(rows, [member]))
     total = grid.join(wanted, member).groupBy(*group, "ts").agg(F.sum("ap").alias("ap"))
@@ -140,10 +141,11 @@ def zero_grid_sum(
     group = list(group)
     if left_out is not None:
         groups = groups.join(left_out, [c for c in left_out.columns], "left_anti")
-    total = (
+    total = stored(
         series.join(groups.select(*group, member).distinct(), member)
         .groupBy(*group, "ts")
-        .agg(F.sum("ap").alias("ap"))
+        .agg(F.sum("ap").alias("ap")),
+        "group-sums",
     )
     return holes_to_zero(regular_grid(total, group))
 
@@ -154,14 +156,44 @@ def join_weather(
     key: Sequence[str] = KEY,
     how: str = "both",
 ) -> DataFrame:
-    """Weather on the stamps of each series, gaps filled within the series.
+    """Weather on the stamps of each series, gaps filled from values inside the span of the series.
 
-    A series that shares no stamp with the weather is an error: after the fill every weather
-    column of such a series is still null.
+    ``series`` and ``weather`` are full grids. The known values next to each stamp are looked up
+    once, on the weather, together with the stamps they are from; a series takes a value only if
+    that stamp is in its span. So the series is neither sorted nor shuffled by key for the fill. A
+    series that shares no stamp with the weather is an error: all its weather columns are null.
     """
-
+    if how not in ("both", "forward"):
+        raise ValueError(f"how is 'both' or 'forward', not {how!r}")
+    key = list(key)
     cols = [c for c in weather.columns if c != "ts"]
-    joined = fill(series.join(weather, "ts", "left").select(*series.columns, *cols), cols, key, how=how)
+    known = {c: F.when(F.col(c).isNotNull(), F.struct("ts", F.col(c).alias("v"))) for c in cols}
+    marked = weather.select("ts", *[v.alias(c) for c, v in known.items()])
+    near = neighbours(marked, cols, []).drop(*cols)
+    # Stamps outside the weather have its first or last known value next to them.
+    edges = marked.agg(
+        F.lit(1).alias("_one"),
+        F.min("ts").alias("_w_first"), F.max("ts").alias("_w_last"),
+        *[F.min(c).alias(f"_first_{c}") for c in cols], *[F.max(c).alias(f"_last_{c}") for c in cols],
+    )
+    spans = (
+        series.groupBy(*key)
+        .agg(F.min("ts").alias("_first"), F.max("ts").alias("_last"), F.lit(1).alias("_one"))
+        .join(edges, "_one")
+    )
+
+    def value(c: str) -> Column:
+        before = F.when(F.col("ts") > F.col("_w_last"), F.col(f"_last_{c}")).otherwise(F.col(f"_prev_{c}"))
+        after = F.when(F.col("ts") < F.col("_w_first"), F.col(f"_first_{c}")).otherwise(F.col(f"_next_{c}"))
+        past = F.when(before["ts"] >= F.col("_first"), before["v"])
+        future = F.when(after["ts"] <= F.col("_last"), after["v"])
+        return (F.coalesce(past, future) if how == "both" else past).alias(c)
+
+    joined = (
+        series.join(near, "ts", "left")
+        .join(spans, key)
+        .select(*series.columns, *[value(c) for c in cols])
+    )
     if how != "both":
         return joined
     missing = F.lit(True)

@@ -32,6 +32,11 @@ def _paired(df: DataFrame, features: Sequence[str], target: str, key: Sequence[s
     )
 
 
+def _corr(x: str, y: str) -> Column:
+    """Correlation; null when one side never changes."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def _varies(c: str) -> Column:
     return F.min(c) < F.max(c)
 
@@ -52,7 +57,7 @@ def top_correlated(
         _paired(df, features, target, key)
         .groupBy(*key, "name")
         .agg(
-            F.abs(F.corr("x", "y")).alias("corr"),
+            F.abs(_corr("x", "y")).alias("corr"),
             F.count(F.lit(1)).alias("_n"), _varies("x").alias("_x"), _varies("y").alias("_y"),
         )
         .where("_n > 2 and _x and _y")
@@ -103,7 +108,7 @@ def f_scores(
     return (
         _paired(df, features, target, key)
         .groupBy(*key, "name")
-        .agg(F.corr("x", "y").alias("r"), F.count(F.lit(1)).alias("n"))
+        .agg(_corr("x", "y").alias("r"), F.count(F.lit(1)).alias("n"))
         .where(F.col("r").isNotNull())
         .select(
             *key, "name",

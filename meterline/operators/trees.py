@@ -85,7 +85,7 @@ def fit_trees(
         maxIter=params.rounds, maxDepth=params.max_depth, stepSize=params.learning_rate,
         subsamplingRate=params.subsample, featureSubsetStrategy=share,
         minInstancesPerNode=params.min_rows, minInfoGain=params.min_gain,
-        maxBins=params.max_bins, seed=params.seed, checkpointInterval=10, cacheNodeIds=True,
+        maxBins=params.max_bins, seed=params.seed, checkpointInterval=10,
     )
     rows = vector.transform(train.withColumn("label", F.col(f"`{label}`").cast("double")))
     rows = rows.select("features", "label").persist()
@@ -145,10 +145,13 @@ def sample_params(trial: int, rounds: int, seed: int = SEED) -> TreeParams:
     return TreeParams(rounds=rounds, seed=seed, **picked)
 
 
-def side_by_side(tasks: Sequence[Callable[[], object]], threads: int = 4) -> list:
+def side_by_side(
+    spark: SparkSession, tasks: Sequence[Callable[[], object]], threads: int = 4
+) -> list:
     """Run driver tasks that start Spark jobs, a few at a time, results in order."""
+    started = [inheritable_thread_target(spark)(t) for t in tasks]
     with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
-        return list(pool.map(lambda t: inheritable_thread_target(t)(), tasks))
+        return list(pool.map(lambda t: t(), started))
 
 
 def tune_trees(
@@ -176,7 +179,8 @@ def tune_trees(
         used, error = best_rounds(errors, patience)
         return {"trial": trial, "mae": error, **asdict(replace(params, rounds=used))}
 
-    records = side_by_side([lambda t=t: run(t) for t in range(trials)], threads)
+    tasks = [lambda t=t: run(t) for t in range(trials)]
+    records = side_by_side(train.sparkSession, tasks, threads)
     best = min(records, key=lambda r: (r["mae"], r["trial"]))
     fields = TreeParams.__dataclass_fields__
     return TreeParams(**{k: v for k, v in best.items() if k in fields}), records

@@ -17,7 +17,7 @@ from meterline.operators.trees import (
     TreeParams, fit_trees, predict, records_frame, side_by_side, site_list, site_rows, top_features,
     tune_trees, union_all,
 )
-from meterline.session import KEY
+from meterline.session import KEY, scratch_path
 
 
 def features_of(df: DataFrame, key: Sequence[str] = KEY) -> list[str]:
@@ -64,6 +64,14 @@ def train_site(
     return SiteModel(site, chosen, models, params)
 
 
+def stored_by_site(df: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """The rows as a table in the shared folder, partitioned by site, so that the jobs of one site
+    read its rows only and a lost executor costs no recomputation."""
+    path = scratch_path(df.sparkSession, "by-site")
+    df.write.partitionBy(*key).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def train_sites(
     matrix: DataFrame,
     first: TreeParams = TreeParams(rounds=200),
@@ -75,12 +83,13 @@ def train_sites(
     key: Sequence[str] = KEY,
 ) -> list[SiteModel]:
     """One model per site group of the feature matrix, cut 80/10/10 by position."""
-    split = ratio_split(matrix, key, mode="cuts")
+    split = stored_by_site(ratio_split(matrix, key, mode="cuts"), key)
     features, targets = features_of(matrix, key), targets_of(matrix)
     return side_by_side(
+        matrix.sparkSession,
         [
             lambda s=s: train_site(split, s, features, targets, first, final, top, trials, tuning_rounds)
-            for s in site_list(matrix, key)
+            for s in site_list(split, key)
         ],
         threads,
     )
@@ -183,7 +192,7 @@ def compare_models(
             return _labelled(result.withColumn("fold", F.lit(None).cast("long")), e, key)
         matrix = matrix_of(e)
         features = features_of(matrix, key)
-        cut = ratio_split(matrix, key, ratios=(0.9, 0.0, 0.1), mode="cuts").persist()
+        cut = stored_by_site(ratio_split(matrix, key, ratios=(0.9, 0.0, 0.1), mode="cuts"), key)
         test = cut.where("split = 'test'").drop("split")
         known = cut.where("split = 'train'").drop("split")
         sizes = {tuple(r[c] for c in key): r["count"] for r in known.groupBy(*key).count().collect()}

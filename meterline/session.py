@@ -65,3 +65,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write the rows once as a table in the shared folder and read them back from there.
+
+    For a reduced result that several later steps read, so that the raw rows behind it are scanned
+    once; a lost executor costs a read and no recomputation.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
