@@ -13,7 +13,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from meterline.functions.clock import slot
-from meterline.session import KEY
+from meterline.session import KEY, stored
 
 CHUNK, HOME = "_chunk", "_home"
 CHUNK_ROWS = 1344  # two weeks of 15-minute steps
@@ -132,21 +132,26 @@ def fill(
     )
 
 
-def ranked_values(df: DataFrame, key: Sequence[str], value: str, buckets: int = 32) -> DataFrame:
+def ranked_values(
+    df: DataFrame, key: Sequence[str], value: str, buckets: int = 32, weight: str | None = None
+) -> DataFrame:
     """Distinct values per group with their count, the rows ``below`` them and the rows ``total``.
 
-    Equal values are merged first. The distinct values are cut at approximate quantiles into
-    buckets that are sorted apart from each other; the counts of the buckets before are added, so
-    ranks are exact whatever the cuts are.
+    ``weight`` names a column with the number of rows a row stands for.
+
+    Equal values are merged first and written, as they are read several times. The distinct values
+    are cut at approximate quantiles into buckets that are sorted apart from each other; the counts
+    of the buckets before are added, so ranks are exact whatever the cuts are.
     """
     key = list(key)
     if not key:
         one = df.withColumn("_all", F.lit(0))
-        return ranked_values(one, ["_all"], value, buckets).drop("_all")
-    counts = (
+        return ranked_values(one, ["_all"], value, buckets, weight).drop("_all")
+    counts = stored(
         df.where(F.col(value).isNotNull())
         .groupBy(*key, value)
-        .agg(F.count(F.lit(1)).alias("cnt"))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("cnt")),
+        "value-counts",
     )
     probs = [i / buckets for i in range(1, buckets)]
     cuts = counts.groupBy(*key).agg(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meterline.operators.chunks import ranked_values
 from meterline.operators.scaling import _long
-from meterline.session import KEY
+from meterline.session import KEY, stored
 
 
 def feature_counts(df: DataFrame, features: Sequence[str], key: Sequence[str] = KEY) -> DataFrame:
@@ -71,22 +71,36 @@ def top_correlated(
 
 
 def spearman(
-    df: DataFrame, features: Sequence[str], target: str, key: Sequence[str] = KEY
+    df: DataFrame,
+    features: Sequence[str],
+    target: str,
+    key: Sequence[str] = KEY,
+    complete: bool = False,
 ) -> DataFrame:
     """Rank correlation of each feature with the target, ties sharing their mean rank.
 
-    The ranks come from counts per distinct value, so no series is sorted in one task.
+    Rows with a null on either side are left out feature by feature; ``complete`` says that there
+    are none, so that the target is ranked once for all. The ranks come from counts per distinct
+    value, so no series is sorted in one task.
     """
-    pairs = _paired(df, features, target, key)
     group = [*key, "name"]
+    # Pairs that occur more than once are ranked and joined once and weighted by their number.
+    counted = stored(
+        _paired(df, features, target, key)
+        .groupBy(*group, "x", "y")
+        .agg(F.count(F.lit(1)).alias("w")),
+        "pair-counts",
+    )
+    first = features[0]
 
-    def ranks(value: str, name: str) -> DataFrame:
+    def ranks(value: str, name: str, by: list[str], rows: DataFrame) -> DataFrame:
         mean_rank = F.col("below") + (F.col("cnt") + 1) / 2
-        return ranked_values(pairs, group, value).select(*group, value, mean_rank.alias(name))
+        return ranked_values(rows, by, value, weight="w").select(*by, value, mean_rank.alias(name))
 
-    # Pairs that occur more than once are joined once and weighted by their number.
-    counted = pairs.groupBy(*group, "x", "y").agg(F.count(F.lit(1)).alias("w"))
-    both = counted.join(ranks("x", "rx"), [*group, "x"]).join(ranks("y", "ry"), [*group, "y"])
+    y_rows, y_key = (counted.where(F.col("name") == first), list(key)) if complete else (counted, group)
+    both = counted.join(ranks("x", "rx", group, counted), [*group, "x"]).join(
+        ranks("y", "ry", y_key, y_rows), [*y_key, "y"]
+    )
     total = F.sum("w")
 
     def moment(a: str, b: str) -> Column:
@@ -129,10 +143,10 @@ def select_features(
     always: str = "t-",
     key: Sequence[str] = KEY,
 ) -> DataFrame:
-    """Features that rank-correlate with ``anchor`` by more than ``limit`` and are among the ``k``
+    """Out of rows without nulls: features that rank-correlate with ``anchor`` by more than ``limit`` and are among the ``k``
     best F scores for ``target``; names that start with ``always`` are kept in any case."""
     tested = [f for f in features if not f.startswith(always)]
-    rho = spearman(df, tested, anchor, key).where(F.abs("rho") > limit)
+    rho = spearman(df, tested, anchor, key, complete=True).where(F.abs("rho") > limit)
     order = Window.partitionBy(*key).orderBy(F.col("f").desc(), "name")
     best = (
         f_scores(df, tested, target, key)

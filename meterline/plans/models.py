@@ -79,7 +79,7 @@ def train_sites(
     top: int = 50,
     trials: int = 0,
     tuning_rounds: int = 1000,
-    threads: int = 4,
+    threads: int = 8,
     key: Sequence[str] = KEY,
 ) -> list[SiteModel]:
     """One model per site group of the feature matrix, cut 80/10/10 by position."""
@@ -124,7 +124,7 @@ def evaluate_sites(
 ) -> DataFrame:
     """Measures on the last tenth of each site, for the first target; a site without a model or
     without test rows gets a row with the status ``error``."""
-    scored = score_sites(held_out(matrix, key), models, key)
+    scored = score_sites(stored_by_site(held_out(matrix, key), key), models, key)
     target = next(iter(models[0].models)).split("+")[1]
     result = metrics(
         scored.select(*key, F.col(f"`true_ap+{target}`").alias("y"), F.col(f"`pred_t+{target}`").alias("p")),
@@ -148,8 +148,9 @@ def infer_sites(
     """The next step from the last row known at ``now``, or all rows, or the last tenth."""
     if next_step_only:
         known = matrix if now is None else known_until(matrix, now, delay_days)
-        return score_sites(latest(known, key), models, key)
-    return score_sites(held_out(matrix, key) if test_only else matrix, models, key)
+        return score_sites(stored_by_site(latest(known, key), key), models, key)
+    rows = held_out(matrix, key) if test_only else matrix
+    return score_sites(stored_by_site(rows, key), models, key)
 
 
 def realtime_reach(n: int, previous_days: int) -> int:
