@@ -117,7 +117,8 @@ def best_subset(values: list[float], cap: float) -> tuple[float | None, list[int
         depth, total, pick = stack.pop()
         if total + least[depth] > cap:
             continue
-        if best_sum is not None and total + most[depth] <= best_sum:
+        # No sum beats the cap itself, nor all that is left taken together.
+        if best_sum is not None and min(cap, total + most[depth]) <= best_sum:
             continue
         if depth == len(order):
             best_sum, best_pick = total, list(pick)
