@@ -1,3 +1,4 @@
+import datetime as dt
 import os
 
 import pandas as pd
@@ -14,7 +15,7 @@ SCHEMA = "etype string, site_id int, dls timestamp, ap double"
 
 
 def batch(minutes_and_values):
-    return [("c", 1, pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=m), v) for m, v in minutes_and_values]
+    return [("c", 1, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m), v) for m, v in minutes_and_values]
 
 
 def test_late_rows_are_dropped_from_the_stream_only(spark, path):

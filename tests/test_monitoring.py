@@ -1,3 +1,5 @@
+import datetime as dt
+
 import pandas as pd
 import pytest
 
@@ -7,7 +9,7 @@ from meterline.operators import monitoring
 
 def test_long_forecasts(spark):
     df = spark.createDataFrame(
-        [("c", 1, pd.Timestamp("2024-01-01 10:00"), 5.0, 7.0, 6.0)],
+        [("c", 1, dt.datetime(2024, 1, 1, 10), 5.0, 7.0, 6.0)],
         ["etype", "site_id", "ts", "pred_t+1", "pred_t+4", "true_ap+1"],
     )
     rows = monitoring.to_long(df).orderBy("horizon_step").collect()

@@ -83,7 +83,7 @@ def test_too_few_points(spark):
 
 @pytest.mark.parametrize("values,want", [
     ([0.5, 0.5], [0.5 * 3500 * 4000, 0.5 * 3500 * 4000]), ([60.0, 40.0], [0.6 * 3500 * 4000, 0.4 * 3500 * 4000]),
-    ([2.0, 3.0], [2000.0, 3000.0]), ([70.0, 3.0], [70.0, 3.0]), ([0.7, 0.1], [0.7 * 14e6, 0.1 * 14e6]),
+    ([2.0, 3.0], [2000.0, 3000.0]), ([70.0, 3.0], [70.0, 3.0]), ([0.75, 0.1], [0.75 * 14e6, 0.1 * 14e6]),
 ])
 def test_units(spark, values, want):
     df = spark.createDataFrame([(2024, i, v) for i, v in enumerate(values)], "year int, ts int, value double")

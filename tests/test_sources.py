@@ -1,3 +1,4 @@
+import datetime as dt
 import os
 
 import pandas as pd
@@ -104,8 +105,8 @@ def test_station(spark):
 
 
 def predictions(spark):
-    rows = [("consumption", 1, pd.Timestamp("2024-01-01 10:00"), 5.0, 6.0), ("consumption", 1, pd.Timestamp("2024-01-01 10:15"), 7.0, 8.0),
-            ("production", 2, pd.Timestamp("2024-01-01 09:00"), 1.0, None)]
+    rows = [("consumption", 1, dt.datetime(2024, 1, 1, 10), 5.0, 6.0), ("consumption", 1, dt.datetime(2024, 1, 1, 10, 15), 7.0, 8.0),
+            ("production", 2, dt.datetime(2024, 1, 1, 9), 1.0, None)]
     return spark.createDataFrame(rows, "etype string, site_id int, ts timestamp, `pred_t+1` double, `true_ap+1` double")
 
 
@@ -144,8 +145,8 @@ def test_results_csv_and_arrays(spark, path):
 
 
 def test_xml_report(spark, path):
-    ts = pd.Timestamp("2024-06-01 10:00")
-    cons = spark.createDataFrame([("k1", ts, 12100.0), ("k1", ts + pd.Timedelta("15min"), 4.0)], "site_key string, ts timestamp, p double")
+    ts = dt.datetime(2024, 6, 1, 10)
+    cons = spark.createDataFrame([("k1", ts, 12100.0), ("k1", ts + dt.timedelta(minutes=15), 4.0)], "site_key string, ts timestamp, p double")
     prod = spark.createDataFrame([(ts, "a", 5.0), (ts, "b", 3.0)], "ts timestamp, site_id string, p double")
     caps = spark.createDataFrame([(ts, 4.0)], "ts timestamp, cap double")
     results.write_xml_report(cons, prod.selectExpr("site_id site_key", "ts", "p"), decide.shed(prod, caps), path)
