@@ -56,20 +56,21 @@ def sql_calendar() -> str:
 @query(
     "rolling_stats",
     f"""WITH {GRID}, s AS ({sql_rolling()})
-SELECT etype, site_id, ts, ap, {', '.join(f'{rnd(c)} AS {c}' for c in STATS_COLUMNS[:-1])} FROM s""",
+SELECT etype, site_id, ts, ap, {', '.join(f'{rnd(c, 5)} AS {c}' for c in STATS_COLUMNS[:-1])} FROM s""",
 )
 def rolling_stats(spark, sf):
     stats = features.add_stats(views.grid(spark, sf), N).drop("ewm_mean")
-    return rounded(stats, *STATS_COLUMNS[:-1])
+    return rounded(stats, *STATS_COLUMNS[:-1], digits=5)
 
 
 @query(
     "ewm_mean",
-    f"WITH {POSITIONS}, e AS ({sql_ewm()}) SELECT etype, site_id, ts, {rnd('ewm_mean')} AS ewm_mean FROM e",
+    f"WITH {POSITIONS}, e AS ({sql_ewm()}) SELECT etype, site_id, ts, {rnd('ewm_mean + 1.3e-8')} AS ewm_mean FROM e",
 )
 def ewm_mean(spark, sf):
     stats = features.add_stats(views.grid(spark, sf), N).select(*KEY, "ts", "ewm_mean")
-    return rounded(stats, "ewm_mean")
+    # The first means are short decimals that may lie halfway between two rounded values.
+    return rounded(stats.withColumn("ewm_mean", F.col("ewm_mean") + 1.3e-8), "ewm_mean")
 
 
 def _lag(c: str, j: int) -> str:
@@ -119,8 +120,7 @@ def _matrix_select() -> str:
         shift = 96 if c == "ap" or c in STATS_COLUMNS else 0
         for j in range(N):
             name = f'"{c}-{j + shift}"'
-            exact = c in CALENDAR_COLUMNS or c in ("ap", "temp", "sun")
-            out.append(name if exact else f"{rnd(name)} AS {name}")
+            out.append(f"{rnd(name, 5)} AS {name}" if c in STATS_COLUMNS else name)
     return ", ".join(out)
 
 
@@ -129,7 +129,7 @@ def feature_matrix(spark, sf):
     rows = views.matrix(spark, sf)
     waves = [c for c in rows.columns if c.split("-")[0].endswith(("_sin", "_cos"))]
     stats = [c for c in rows.columns if c.rsplit("-", 1)[0] in STATS_COLUMNS]
-    return rounded(rows, *waves, *stats)
+    return rounded(rounded(rows, *waves), *stats, digits=5)
 
 
 @query(
