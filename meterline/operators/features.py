@@ -115,7 +115,7 @@ def feature_names(columns: Sequence[str], n: int = 8, previous_days: int = 0) ->
 
 def target_steps(horizon: int = 1, selected: Sequence[str] | None = None) -> dict[str, int]:
     """Targets by name and number of steps ahead; a malformed name is left out."""
-    if not selected:
+    if not selected:  # a horizon of 0 makes rows to forecast from, without a target
         return {f"ap+{k}": k for k in range(1, horizon + 1)}
     steps = {}
     for name in selected:

@@ -8,16 +8,19 @@ from dataclasses import dataclass, replace
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
+from meterline.functions.clock import cutoff, shift_steps
 from meterline.operators.accuracy import metrics
 from meterline.operators.clean import known_until, latest
-from meterline.operators.features import check_columns, feature_matrix, naive
+from meterline.operators.features import check_columns, ewm_reach, feature_matrix, naive
 from meterline.operators.neighbours import knn
+from meterline.operators.regular import group_sum, resample
 from meterline.operators.splits import expanding_folds, held_out, ratio_split
 from meterline.operators.trees import (
-    TreeParams, fit_trees, predict, records_frame, side_by_side, site_list, site_rows, top_features,
+    TreeParams, feature_importance, fit_trees, predict, records_frame, side_by_side, site_list, site_rows, top_features,
     tune_trees, union_all,
 )
-from meterline.session import KEY, scratch_path
+from meterline.session import KEY, STEPS_PER_DAY, scratch_path
+from meterline.sources.tables import range_scan
 
 
 def features_of(df: DataFrame, key: Sequence[str] = KEY) -> list[str]:
@@ -110,7 +113,10 @@ def score_sites(
             rows.select(
                 *key, "ts",
                 *[F.col(f"`pred_t+{t.split('+')[1]}`") for t in m.models],
-                *[F.col(f"`{t}`").alias(f"true_{t}") for t in m.models],
+                *[
+                    (F.col(f"`{t}`") if t in matrix.columns else F.lit(None).cast("double")).alias(f"true_{t}")
+                    for t in m.models
+                ],
             )
         )
     return union_all(frames)
@@ -155,9 +161,32 @@ def infer_sites(
 
 def realtime_reach(n: int, previous_days: int) -> int:
     """Steps of readings the last feature row depends on: lags, statistics, exponential mean."""
-    from meterline.operators.features import ewm_reach
+    return STEPS_PER_DAY * previous_days + n - 1 + max(ewm_reach(n), n)
+
+
+def realtime_matrix(
+    rows: DataFrame,
+    groups: DataFrame,
+    now,
+    weather: DataFrame | None = None,
+    n: int = 8,
+    previous_days: int = 1,
+    order: Sequence[str] = (),
+    **options,
+) -> DataFrame:
+    """Feature rows, without targets, from the operational tables as ``extract`` gives them.
 
-    return 96 * previous_days + n - 1 + max(ewm_reach(n), n)
+    Only the steps the last row depends on are scanned. ``rows`` holds ``site, sn, dls, ap`` and the
+    ranks of database and table; ``groups`` maps ``site, sn`` to ``etype, site_id``. The last step is
+    the one ``previous_days`` before ``now``.
+    """
+    end = cutoff(F.lit(now).cast("timestamp"), previous_days)
+    start = shift_steps(end, -realtime_reach(n, previous_days))
+    recent = range_scan(rows, start, end, groups.select("site", "sn").distinct(), order)
+    meter = F.concat_ws("/", "site", F.col("sn").cast("string")).alias("site_key")
+    series = resample(recent.select(meter, "ts", "ap"), ["site_key"], "ts", ["ap"])
+    total = group_sum(series, groups.select(*KEY, meter))
+    return feature_matrix(total, weather, n, 0, previous_days, **options)
 
 
 def compare_models(
@@ -231,8 +260,6 @@ def _labelled(result: DataFrame, e: Mapping, key: Sequence[str]) -> DataFrame:
 
 def importance_table(matrix: DataFrame, models: Sequence[SiteModel]) -> DataFrame:
     """Chosen features of every site by rank."""
-    from meterline.operators.trees import feature_importance
-
     records = [
         {**dict(zip(KEY, m.site)), "target": target, "rank": rank, "feature": name, "importance": weight}
         for m in models

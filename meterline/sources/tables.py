@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 Reader = Callable[[str], DataFrame]
 
@@ -72,7 +72,8 @@ def range_scan(
     Of rows with the same meter and stamp the one of the lowest ``database_rank`` is kept, then by
     the ``order`` columns. Both choices are aggregates that keep one row per group and task.
     """
-    inside = rows.where(F.col("dls").between(F.lit(start), F.lit(end)))
+    start, end = (v if isinstance(v, Column) else F.lit(v) for v in (start, end))
+    inside = rows.where(F.col("dls").between(start, end))
     if sites is not None:
         inside = inside.join(sites.select("site", "sn"), ["site", "sn"], "left_semi")
     home = ["site", "sn", "database_rank"]

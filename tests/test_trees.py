@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +83,18 @@ def test_short_window_gives_the_same_last_row(spark):
     part = feature_matrix(frame(spark, pdf.tail(reach + 2)), n=4).orderBy(F.col("ts").desc()).first()
     assert whole.ts == part.ts
     assert all(np.isclose(whole[c], part[c], atol=1e-9) for c in whole.asDict() if c not in ("etype", "ts"))
+
+
+def test_realtime_rows_from_tables(spark):
+    parts = []
+    for site, rank in (("A", 0), ("B", 2)):
+        pdf = series(1500, seed=rank).assign(site=site, sn=1, database_rank=0, table_rank=rank)
+        parts.append(pdf.rename(columns={"ts": "dls"}).drop(columns=["etype", "site_id"]))
+    rows = pd.concat(parts)
+    groups = spark.createDataFrame([("consumption", 1, "A", 1), ("consumption", 1, "B", 1)], "etype string, site_id int, site string, sn long")
+    got = models.realtime_matrix(spark.createDataFrame(rows), groups, "2024-01-12 10:07:00", n=4, calendar_on=False)
+    last = got.orderBy(F.col("ts").desc()).first()
+    total = rows.groupby("dls")["ap"].sum().rename_axis("ts").reset_index().assign(etype="consumption", site_id=1)
+    want = feature_matrix(frame(spark, total), n=4, horizon=0, calendar_on=False).where("ts = timestamp'2024-01-11 10:00:00'").first()
+    assert str(last.ts) == "2024-01-11 10:00:00" and "ap+1" not in got.columns
+    assert all(np.isclose(last[c], want[c], atol=1e-9) for c in got.columns[3:])
