@@ -226,10 +226,11 @@ def compare_models(
         test = cut.where("split = 'test'").drop("split")
         known = cut.where("split = 'train'").drop("split")
         sizes = {tuple(r[c] for c in key): r["count"] for r in known.groupBy(*key).count().collect()}
-        parts = []
-        for site, rows in sorted(sizes.items()):
+
+        def parts_of(site: tuple, rows: int) -> list[DataFrame]:
             size = max(1, rows // (folds + 1))
-            fold_rows = expanding_folds(site_rows(known, site, key), size, key).persist()
+            fold_rows = expanding_folds(site_rows(known, site, key), size, key)
+            parts = []
             for fold in range(folds):
                 train = fold_rows.where((F.col("fold") == fold) & (F.col("part") == "train"))
                 mine = site_rows(test, site, key)
@@ -241,6 +242,10 @@ def compare_models(
                     scored.select(*key, F.lit(fold).cast("long").alias("fold"),
                                   F.col(f"`{target}`").alias("y"), "p")
                 )
+            return parts
+
+        tasks = [lambda s=s, n=n: parts_of(s, n) for s, n in sorted(sizes.items())]
+        parts = [p for found in side_by_side(series.sparkSession, tasks, 8) for p in found]
         by_fold = metrics(union_all(parts), [*key, "fold"])
         best = by_fold.groupBy(*key).agg(F.min_by("fold", F.struct("mae", "fold")).alias("fold"))
         return _labelled(by_fold.join(best, [*key, "fold"]), e, key)
