@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -21,8 +23,21 @@ PIECES = T.StructType([
 ])
 #: Sequences of a task are numbered from its partition's number shifted by so many bits.
 _SHIFT = 33
-#: Words a worker remembers at most; the memory starts anew beyond.
-_REMEMBERED = 300_000
+#: Words that a worker keeps: the first it meets, so that frequent ones are among them.
+_KEPT_WORDS = 100_000
+#: Parts of words that a worker remembers at most; this memory starts anew beyond.
+_KEPT_PARTS = 1_500_000
+#: Words of a text taken at once.
+_STRETCH = 100_000
+
+# How the tokenizer of word_bpe_49k.json cuts lower-case words whose letters lie below U+0250, and how it
+# names the bytes of a part.
+_LETTERS = "".join(sorted({chr(c).lower() for c in range(0x250) if chr(c).isalpha() and c != 0x130}))
+_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+_PLAIN = re.compile(rf"[{_LETTERS}0-9!-/:;=?-@\[-`{{}}~]+")
+_NAMED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_NAMES = {b: chr(b) for b in _NAMED} | {
+    b: chr(0x100 + i) for i, b in enumerate(sorted(set(range(256)).difference(_NAMED)))}
 
 
 @lru_cache(maxsize=2)
@@ -36,20 +51,52 @@ class WordIds:
     """Token ids of texts, as little-endian 32-bit bytes, remembered word by word.
 
     Only for tokenizers that drop white space and never join across it. Texts are cut at blanks
-    and line feeds; other white space is left to the tokenizer.
+    and line feeds; other white space is left to the tokenizer. With ``parts`` a word of plain characters
+    is cut as the tokenizer itself would, and its parts go to the tokenizer's model alone, remembered too;
+    that spares the tokenizer's slow steps for words that occur once. All other words take all its steps.
     """
 
-    def __init__(self, path: str) -> None:
-        self.tokenizer, self.known = _tokenizer(path), {}
+    def __init__(self, path: str, parts: bool = True) -> None:
+        self.tokenizer, self.parts = _tokenizer(path), parts
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        if len(self.pieces) >= _KEPT_PARTS:
+            self.pieces.clear()
+        named = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_NAMES)
+        known = self.pieces[piece] = array("I", [t.id for t in self.tokenizer.model.tokenize(named)]).tobytes()
+        return known
+
+    def _coded(self, words: set[str]) -> dict[str, bytes]:
+        coded, odd, known = {}, [], self.pieces.get
+        for word in words:
+            low = word.lower()
+            if self.parts and _PLAIN.fullmatch(low):
+                coded[word] = b"".join([known(p) or self._piece(p) for p in _PARTS.findall(low)])
+            else:
+                odd.append(word)
+        ids = self.tokenizer.encode_batch(odd, add_special_tokens=False)
+        return coded | {word: array("I", c.ids).tobytes() for word, c in zip(odd, ids, strict=True)}
 
     def __call__(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        if new := list(set(words).difference(self.known)):
-            if len(self.known) + len(new) > _REMEMBERED:
-                self.known, new = {}, list(set(words))
-            coded = self.tokenizer.encode_batch(new, add_special_tokens=False)
-            self.known.update(zip(new, (np.array(c.ids, "<u4").tobytes() for c in coded), strict=True))
-        return b"".join(map(self.known.__getitem__, words))
+        words, ids = text.replace("\n", " ").split(" "), []
+        for at in range(0, len(words), _STRETCH):
+            stretch = words[at:at + _STRETCH]
+            coded = self._coded(set(stretch).difference(self.words))
+            passing = len(self.words) + len(coded) > _KEPT_WORDS
+            self.words.update(coded)
+            ids.append(b"".join(map(self.words.__getitem__, stretch)))
+            if passing:
+                for word in coded:
+                    del self.words[word]
+        return b"".join(ids)
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One memory per worker and tokenizer, which the worker's tasks share."""
+    return WordIds(path)
 
 
 def capacities(tokens: int, length: int) -> list[int]:
@@ -113,7 +160,7 @@ def pack(
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(tokenizer_path if isinstance(tokenizer_path, str) else tokenizer_path())
+        ids_of = word_ids(tokenizer_path if isinstance(tokenizer_path, str) else tokenizer_path())
         sequence = TaskContext.get().partitionId() << _SHIFT
         # Parts waiting to be packed: key, tokens before, ids, tokens of the whole document.
         waiting: list[tuple[int | None, int, bytes, int]] = []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm import chat, exact, extract, licences, mixing, packing, secrets, simhash, statements, tiles, toxicity
+from meterline.llm import chat, exact, extract, licences, mixing, packing, secret_scan, simhash, statements, tiles, toxicity
 from meterline.llm.settings import cycling_weights, is_held_out, tokenizer_path
 from meterline.llm.shared import table
 
@@ -53,11 +53,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return found.select(
-        "doc_id", *[secrets.count_of("base", kind).alias(f"n_{kind}") for kind in secrets.KINDS],
-        F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"),
-        secrets.listed(F.col("spans")).alias("spans"), "n_live", "n_example")
+        "doc_id", *[secret_scan.count_of("base", kind).alias(f"n_{kind}") for kind in secret_scan.KINDS],
+        F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("spans")).alias("spans"), "n_live", "n_example")
 
 
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

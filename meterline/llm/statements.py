@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from meterline.llm.chat import CONTROL, END, TEXT, TURN
 from meterline.llm.licences import HINT, NO_WORD, RULES, SENTENCE_END, SENTENCES, VERSION
-from meterline.llm.secrets import ISSUED
+from meterline.llm.secret_scan import ISSUED
 
 
 def _quoted(text: str) -> str:
@@ -79,7 +79,7 @@ def _secrets() -> str:
             FROM (
                 SELECT doc_id, source AS owner, regexp_extract_all(text, {_quoted(p)}, 0) AS m,
                     regexp_extract_all(text, {_quoted(p)}, {group}) AS v, string_split_regex(text, {_quoted(p)}) AS g
-                FROM texts WHERE regexp_matches(text, {_quoted(p)}))
+                FROM texts WHERE regexp_matches(text, {_quoted("[0-9a-f]{24,}" if kind == "hex" else p)}))
         ) WHERE length(value) >= {least}""" for rank, (kind, p, group, least) in enumerate(kinds))
     return f"""
     WITH texts AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,19 +23,16 @@ from meterline.session import stored
 HOMOGLYPHS = dict(zip("аеорсухіѕјԁԛһкмтвнαεορτυνικ", "aeopcyxisjdqhkmtbhaeoptuvik", strict=True))
 DIGITS = dict(zip("013457", "oieast", strict=True))
 SIGNS = dict(zip("@$!", "asi", strict=True))
-_LOOKALIKES = str.maketrans(HOMOGLYPHS)
 _LEET = str.maketrans(DIGITS | SIGNS)
-_MIXED = re.compile(r"[^\W\d_]*(?:[013457]+[^\W\d_]+|[^\W\d_]+[013457]+(?=[^\W_])|[@$!]+(?=[^\W\d_])[^\W\d_]+)[^\W_]*")
-_GAPS = re.compile(r"[\W_]+")
+_BEFORE_LETTER = re.compile(r"[013457@$!]+(?=[^\W\d_])")
+_BLANKED = dict.fromkeys(string.punctuation + "¡¿«»“”„‘’‚…–—·•", " ")
+_CLEANED = str.maketrans(_BLANKED | HOMOGLYPHS)
 
 
 def fold(text: str) -> str:
-    """Lower case, homoglyphs as Latin letters, digits and signs inside words as letters, words between single blanks."""
-    low = text.lower()
-    if not low.isascii():
-        low = low.translate(_LOOKALIKES)
-    low = _MIXED.sub(lambda m: m[0].translate(_LEET), low)
-    return " " + _GAPS.sub(" ", low).strip() + " "
+    """Lower case, digits and signs before a letter as letters, homoglyphs as Latin letters, words between single blanks."""
+    low = _BEFORE_LETTER.sub(lambda m: m[0].translate(_LEET), text.lower())
+    return " " + " ".join(low.translate(_CLEANED).split()) + " "
 
 
 @dataclass
