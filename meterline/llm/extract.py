@@ -34,17 +34,21 @@ ENDS_P = frozenset(
 ENDS_SAME = frozenset("li dt dd tr td th option".split())
 #: Words of class, id and role that mark what isn't the article.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement adverts banner sponsor sponsored promo promotion cookie cookies consent gdpr notice "
-    "notices alert popup modal overlay sidebar sidebars side nav navbar navigation menu menus breadcrumb breadcrumbs "
-    "footer comment comments commentlist disqus respond reply replies share sharing social related recommended recommendations "
-    "newsletter subscribe subscription signup login pagination pager widget widgets toolbar contentinfo complementary "
-    "search hidden".split())
+    "ad ads adbox adcontainer adsense adslot adspace adunit advert advertisement advertisements advertising adverts alert "
+    "announcement banner breadcrumb breadcrumbs comment commentlist comments complementary consent contentinfo cookie "
+    "cookies dialog discussion disqus footer gdpr hidden login menu menus modal nav navbar navigation newsletter notice "
+    "notices overlay pager pagination popup promo promoted promotion recommended recommendations related replies reply respond "
+    "search share sharing side sidebar sidebars signup social sponsor sponsored subscribe subscription toolbar widget "
+    "widgets".split())
+#: Marks that count outside an article only, where its own head may bear them.
+OUTER_MARKS = frozenset("header masthead topbar topnav".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
     r"""|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>", re.S)
 _LOOSE = re.compile(r"<(?:/?[a-zA-Z!?][^<]*|/?)\Z")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_UNSEEN = re.compile(r"""\bstyle\s*=\s*["']?[^"'>]*\b(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
 _NAMES = re.compile(r"[a-z0-9]+")
 _BLANKS = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
@@ -73,18 +77,18 @@ class Block:
         return _BLANKS.sub(" ", entities.unescape("".join(self.parts))).strip()
 
 
-def _marked(rest: str) -> bool:
+def _marked(rest: str, inside: bool) -> bool:
     for name, value in _ATTRIBUTE.findall(rest):
         words = _NAMES.findall((value or name).lower())
-        if MARKS.intersection(words):
+        if MARKS.intersection(words) or not inside and OUTER_MARKS.intersection(words):
             return True
-    return False
+    return bool(_UNSEEN.search(rest))
 
 
 def _element(name: str, rest: str, parent: Element) -> Element:
     shut = parent.shut or name in NEVER or (name == "header" and not parent.inside)
     if not shut and name not in ("html", "body", "main") and rest:
-        shut = _marked(rest)
+        shut = _marked(rest, parent.inside)
     return Element(name, parent, f"{parent.path}/{name}", shut, parent.inside or name in ARTICLE)
 
 

@@ -39,3 +39,8 @@ def numbered(df: DataFrame, number: str, name: str) -> DataFrame:
 def bounded_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
     """Mark for broadcast if ``rows``, counted before, is at most ``most``; else leave it to the planner."""
     return F.broadcast(df) if rows <= most else df
+
+
+def sized(df: DataFrame, rows: int, each: int = 250_000) -> DataFrame:
+    """The rows in as many partitions as ``rows``, counted before, ask for, so that small tables cost few tasks."""
+    return df.coalesce(max(1, -(-rows // each)))

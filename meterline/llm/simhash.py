@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterline.llm.components import components
-from meterline.llm.shared import numbered, own
+from meterline.llm.shared import numbered, own, sized
 from meterline.session import stored
 
 BITS = 64
@@ -127,15 +127,16 @@ def near_duplicates(
     order = F.struct(F.col(keyed).isNull().alias("missing"), F.col(keyed).alias("key"), F.col(number).alias("row"))
     classes = stored(rows.groupBy(F.col(bits).alias("fingerprint")).agg(F.min(order).alias("best")), "classes")
     pairs = stored(close_pairs(classes.select("fingerprint"), distance, spare), "links")
-    roots = stored(components(pairs), "roots")
-    linked = classes.join(roots, classes["fingerprint"] == roots["node"], "left").select(
-        "fingerprint", "best", F.coalesce("root", "fingerprint").alias("root"))
-    linked = stored(linked, "linked")
-    best = stored(linked.groupBy("root").agg(F.min("best").alias("least")), "least")
+    n = 2 * pairs.count()
+    roots = stored(sized(components(pairs), n), "roots")
+    linked = stored(sized(
+        roots.join(classes, roots["node"] == classes["fingerprint"]).select("fingerprint", "root", "best"), n), "linked")
+    least = stored(sized(linked.groupBy("root").agg(F.min("best").alias("least")), n), "least")
+    reached = linked.join(least, "root").select(F.col("fingerprint").alias("node"), "least")
+    best = F.coalesce("least", "best")
     found = stored(
-        linked.join(best, "root").select(
-            F.col("fingerprint").alias(bits), F.col("least.key").alias("component_id"),
-            F.col("least.row").alias("kept_row")), "members")
+        classes.join(reached, classes["fingerprint"] == reached["node"], "left").select(
+            F.col("fingerprint").alias(bits), best["key"].alias("component_id"), best["row"].alias("kept_row")), "members")
     # Left, so that every row stays whatever its group; Spark may split the rows of a frequent fingerprint.
     return rows.join(found, bits, "left").select(
         *carry, F.lpad(F.lower(F.hex(bits)), 16, "0").alias("fingerprint"), "component_id",
