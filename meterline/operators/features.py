@@ -37,13 +37,17 @@ def ewm_reach(n: int) -> int:
 
 
 def _stats_rows(n: int, before: int, after: int) -> int:
-    """Chunk length: wide enough for the copied rows, short enough for the weights to fit."""
+    """Chunk length: wide enough for the copied rows, short enough for the weights to fit; 0 if no
+    length is both.
+
+    The reach of the weights alone always fits: it is 37 of the 650 that ``EXP_LIMIT`` allows.
+    """
     rows = chunk_rows(before, after)
     decay = 1 - 2 / (n + 1)
     if decay == 0:
         return rows
-    fits = int(EXP_LIMIT / -math.log(decay)) - before - after
-    return max(1, min(rows, fits))
+    rows = min(rows, int(EXP_LIMIT / -math.log(decay)) - before - after)
+    return rows if rows >= 4 * (before + after) else 0
 
 
 def stats_features(
@@ -234,7 +238,8 @@ def feature_matrix(
     """Grid, weather, calendar, statistics, lags, targets, rows without nulls, in that order.
 
     ``series`` holds the key, ``ts`` and ``ap``. Statistics and lags share one shuffle and one sort
-    by chunk. ``wanted`` builds only these features; the rows kept are the same as with all.
+    by chunk, unless the day shift is too long for the weights of the exponential mean; then the
+    statistics are a pass of their own, with chunks that reach as far back as they need. ``wanted`` builds only these features; the rows kept are the same as with all.
     ``regular`` says that the series already is a full grid.
     """
     base = series.select(*key, "ts", "ap")
@@ -250,15 +255,18 @@ def feature_matrix(
     shift = previous_days * STEPS_PER_DAY
     targets = target_steps(horizon, selected)
     after = max(targets.values(), default=0)
-    before = shift + n - 1 + (max(ewm_reach(n), n - 1, 2) if stats_on else 0)
-    rows = _stats_rows(n, before, after) if stats_on else max(CHUNK_ROWS, 4 * (before + after))
-    order = slot(F.col("ts"))
-    w = chunk_window(key)
-    cut = spread(base, order, before, after, rows)
+    before = shift + n - 1
+    reach = max(ewm_reach(n), n - 1, 2) if stats_on else 0
+    rows = _stats_rows(n, before + reach, after) if stats_on else max(CHUNK_ROWS, 4 * (before + after))
+    order, w = slot(F.col("ts")), chunk_window(key)
+    if rows:
+        cut = spread(base, order, before + reach, after, rows)
+        if stats_on:
+            stats = stats_features(n, w, _age(order, rows))
+            cut = cut.select("*", *[c.alias(k) for k, c in stats.items()])
+    else:
+        cut = spread(add_stats(base, n, key), order, before, after)
     if stats_on:
-        cut = cut.select(
-            "*", *[c.alias(k) for k, c in stats_features(n, w, _age(order, rows)).items()]
-        )
         columns += STATS_COLUMNS
     keep = [*key, "ts", "_chunk", "_home"]
     return at_home(
