@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-# All subsets of up to this many sites are summed in one array expression.
-MASK_SITES = 12
-
 
 def latest_demand(df: DataFrame, by: Sequence[str] = (), ts: str = "ts", power: str = "power_w") -> DataFrame:
     """Last known synthetic demand, 0 when it is missing, no number, or negative."""
@@ -90,43 +88,33 @@ def allocation_totals(report: DataFrame) -> DataFrame:
     )
 
 
-def _subset_sums(values: Column) -> Column:
-    """Sums of all subsets, the one of mask m at place m (bit i stands for value i)."""
-    return F.aggregate(
-        values, F.array(F.lit(0.0)),
-        lambda sums, v: F.concat(sums, F.transform(sums, lambda s: s + v)),
-    )
-
+def best_subset(values: list[int], cap: int) -> tuple[int | None, list[int]]:
+    """Largest subset sum of whole numbers not above ``cap`` and its places.
 
-def best_subset(values: list[float], cap: float) -> tuple[float | None, list[int]]:
-    """Largest subset sum not above ``cap`` and its places, by branch and bound.
-
-    Large values are tried first; a branch is left when all that remains cannot beat the best sum.
+    Of subsets with that sum the one whose places, read as bits, are the smallest number. The sums that
+    the first i values reach are the bits of one long integer, so the work grows with values times
+    range and never with the number of subsets.
     """
-    order = sorted(range(len(values)), key=lambda i: -values[i])
-    gains = [max(values[i], 0.0) for i in order]
-    # Negative values can make room, so the least reachable sum bounds a branch from below.
-    least = [0.0] * (len(order) + 1)
-    most = [0.0] * (len(order) + 1)
-    for d in range(len(order) - 1, -1, -1):
-        least[d] = least[d + 1] + min(values[order[d]], 0.0)
-        most[d] = most[d + 1] + gains[d]
-    best_sum, best_pick = None, []
-    stack = [(0, 0.0, ())]
-    while stack:
-        depth, total, pick = stack.pop()
-        if total + least[depth] > cap:
-            continue
-        # No sum beats the cap itself, nor all that is left taken together.
-        if best_sum is not None and min(cap, total + most[depth]) <= best_sum:
-            continue
-        if depth == len(order):
-            best_sum, best_pick = total, list(pick)
-            continue
-        stack.append((depth + 1, total, pick))
-        stack.append((depth + 1, total + values[order[depth]], (*pick, order[depth])))
-    return best_sum, sorted(best_pick)
-
+    # Negative values make room; bit b stands for the sum b - low.
+    low = -sum(v for v in values if v < 0)
+    room = cap + low
+    if room < 0:
+        return None, []
+    most = (1 << (min(room, sum(v for v in values if v > 0) + low) + low + 1)) - 1
+    reached = [1 << low]
+    for v in values:
+        bits = reached[-1]
+        reached.append((bits | (bits << v if v >= 0 else bits >> -v)) & most)
+    allowed = reached[-1] & ((1 << (room + 1)) - 1)
+    if not allowed:
+        return None, []
+    at = allowed.bit_length() - 1
+    best, pick = at - low, []
+    for i in range(len(values) - 1, -1, -1):
+        if not reached[i] >> at & 1:  # not without this value
+            pick.append(i)
+            at -= values[i]
+    return best, pick[::-1]
 
 
 def shed(
@@ -136,52 +124,43 @@ def shed(
     site: str = "site_id",
     p: str = "p",
     cap: str = "cap",
+    resolution: float = 0.01,
 ) -> DataFrame:
     """Sites to keep so that their production is as large as possible and not above the cap.
 
     One row per group with ``kept``, ``shed`` (arrays of sites), ``kept_sum`` and ``violation``
-    (all sites together are above the cap). Up to ``MASK_SITES`` sites all subsets are compared and
-    ties go to the first in binary order; larger groups are searched exactly by branch and bound.
+    (all sites together are above the cap). Production and cap count in whole steps of
+    ``resolution``. Of choices with the same sum the first in binary order is taken, the site with the
+    smallest key being the lowest bit; the rule is the same for any number of sites.
     """
     on = list(on)
     rows = production.groupBy(*on).agg(
         F.sort_array(F.collect_list(F.struct(F.col(site).alias("site"), F.col(p).alias("p")))).alias("_all")
     )
     both = caps.select(*on, F.col(cap).alias("cap")).join(rows, on)
-    values = F.transform("_all", lambda s: s["p"].cast("double"))
-    few = F.size("_all") <= MASK_SITES
-    sums = _subset_sums(F.when(few, values).otherwise(F.array(F.lit(0.0))))
-    allowed = F.transform(sums, lambda s: F.when(s <= F.col("cap"), s))
-    small = both.where(few).withColumn("_sums", allowed)
-    top = F.array_max("_sums")
-    small = small.withColumn("_sum", top).withColumn(
-        "_keep",
-        F.transform(
-            "_all",
-            lambda s, i: F.getbit(F.array_position("_sums", F.col("_sum")) - 1, i.cast("int")) == 1,
-        ),
-    )
 
-    @F.pandas_udf("struct<sum: double, keep: array<boolean>>")
-    def search(all_values: pd.Series, limits: pd.Series) -> pd.DataFrame:
-        found = [best_subset(list(v), c) for v, c in zip(all_values, limits)]
-        keeps = [[i in set(pick) for i in range(len(v))] for (_, pick), v in zip(found, all_values)]
-        return pd.DataFrame({"sum": [s for s, _ in found], "keep": keeps})
+    @F.pandas_udf("array<boolean>")
+    def search(all_values: pd.Series, limits: pd.Series) -> pd.Series:
+        keeps = []
+        for values, limit in zip(all_values, limits):
+            steps = [round(v / resolution) for v in values]
+            best, pick = best_subset(steps, math.floor(limit / resolution + 1e-6))
+            picked = set(pick)
+            keeps.append(None if best is None else [i in picked for i in range(len(steps))])
+        return pd.Series(keeps)
 
-    large = both.where(~few).withColumn("_found", search(values, F.col("cap")))
-    large = large.withColumn("_sum", F.col("_found.sum")).withColumn("_keep", F.col("_found.keep"))
-    cols = [*on, "cap", "_all", "_sum", "_keep"]
-    chosen = small.select(*cols).unionByName(large.select(*cols))
+    values = F.transform("_all", lambda s: s["p"].cast("double"))
+    chosen = both.withColumn("_keep", search(values, F.col("cap").cast("double")))
     # With no subset under the cap nothing is kept.
-    keep = F.when(F.col("_sum").isNotNull(), F.col("_keep")).otherwise(
-        F.transform("_all", lambda s: F.lit(False))
-    )
+    keep = F.coalesce("_keep", F.transform("_all", lambda s: F.lit(False)))
     marked = F.arrays_zip(F.col("_all").alias("s"), keep.alias("k"))
-    total = F.aggregate(F.transform("_all", lambda s: s["p"].cast("double")), F.lit(0.0), lambda a, v: a + v)
+    add = lambda items: F.aggregate(
+        F.transform(items, lambda s: s["p"].cast("double")), F.lit(0.0), lambda a, v: a + v)
+    kept = F.transform(F.filter("_marked", lambda m: m["k"]), lambda m: m["s"])
     return chosen.withColumn("_marked", marked).select(
-        *on, "cap", total.alias("total"),
-        F.transform(F.filter("_marked", lambda m: m["k"]), lambda m: m["s"]["site"]).alias("kept"),
+        *on, "cap", add("_all").alias("total"),
+        F.transform(kept, lambda s: s["site"]).alias("kept"),
         F.transform(F.filter("_marked", lambda m: ~m["k"]), lambda m: m["s"]["site"]).alias("shed"),
-        F.col("_sum").alias("kept_sum"),
-        (total > F.col("cap")).alias("violation"),
+        F.when(F.col("_keep").isNotNull(), add(kept)).alias("kept_sum"),
+        (add("_all") > F.col("cap")).alias("violation"),
     )

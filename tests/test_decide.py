@@ -76,9 +76,14 @@ def test_shed_equals_all_subsets(spark, n):
     assert row.kept_sum == best and sum(values[i] for i in row.kept) == best
 
 
-def test_branch_and_bound_with_many_sites():
-    values = [float(v) for v in range(1, 61)]
-    total, pick = decide.best_subset(values, 917.0)
-    assert total == 917.0 and sum(values[i] for i in pick) == 917.0
-    assert decide.best_subset([4.0], -1.0) == (None, [])
-    assert decide.best_subset([4.0, -3.0], 1.0) == (1.0, [0, 1])
+def test_many_sites():
+    total, pick = decide.best_subset(list(range(1, 61)), 917)
+    assert total == 917 and sum(p + 1 for p in pick) == 917
+    assert decide.best_subset([4], -1) == (None, [])
+    assert decide.best_subset([4, -3], 1) == (1, [0, 1])
+
+
+@pytest.mark.parametrize("n", [4, 12, 13, 40])
+def test_ties_go_to_the_smallest_mask_whatever_the_number_of_sites(spark, n):
+    row = shed_row(spark, [1, 1, 1, 1] + [0] * (n - 4), 2)
+    assert row.kept == [0, 1] and row.shed == list(range(2, n)) and row.kept_sum == 2.0
\ No newline at end of file
