@@ -107,13 +107,17 @@ def _pacf_of(row, lags: int) -> list[float]:
 def partial_autocorrelation(
     df: DataFrame, lags: int = 20, key: Sequence[str] = KEY, ts: str = "ts", value: str = "ap"
 ) -> DataFrame:
-    """Last coefficient of the regression on 1..k earlier values and a constant, k = 1..``lags``."""
-    moments = lag_moments(df, lags, key, ts, value).where(F.col("n") > 2 * lags)
+    """Last coefficient of the regression on 1..k earlier values and a constant, k = 1..``lags``.
+
+    A series of ``2 * lags`` rows or fewer has one row without lag and value and the status
+    ``short``; all other rows have the status ``ok``.
+    """
+    moments = lag_moments(df, lags, key, ts, value)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = batch[list(key)].copy()
-            out["pacf"] = [_pacf_of(row, lags) for row in batch.itertuples()]
+            out["pacf"] = [_pacf_of(row, lags) if row.n > 2 * lags else None for row in batch.itertuples()]
             yield out
 
     schema = T.StructType(
@@ -121,7 +125,8 @@ def partial_autocorrelation(
         + [T.StructField("pacf", T.ArrayType(T.DoubleType()))]
     )
     solved = moments.mapInPandas(solve, schema)
-    return solved.select(*key, F.posexplode("pacf").alias("lag", "pacf"))
+    status = F.when(F.col("pacf").isNull(), "short").otherwise("ok").alias("status")
+    return solved.select(*key, status, F.posexplode_outer("pacf").alias("lag", "pacf"))
 
 
 def _difference(order: int) -> np.ndarray:
@@ -160,27 +165,27 @@ def usual_lags(n: int) -> int:
     return max(0, min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2))
 
 
-def _order_of(row, max_lag: int, max_d: int, fixed: int | None) -> tuple[int, float, int]:
-    statistic, used = math.nan, 0
+def _order_of(row, max_d: int, fixed: int | None) -> tuple[int | None, float | None, int | None, str]:
+    """Order, statistic and lags of the undifferenced series, and how the search ended."""
+    statistic, used, n = None, None, int(row.n)
     for d in range(max_d + 1):
-        most = min(usual_lags(int(row.n) - d), max_lag - 1 - d) if fixed is None else fixed
+        most = usual_lags(n - d) if fixed is None else fixed
+        if n <= 2 * (most + 1 + d):
+            return None, statistic, used, "short"
+        chosen = most
         if fixed is None:
             gram, sums, m = _windowed(row, most + 1 + d)
-            criteria = [_unit_root(gram, sums, m, d, p)[1] for p in range(most + 1)]
-            chosen = int(np.argmin(criteria))
-        else:
-            chosen = fixed
+            chosen = int(np.argmin([_unit_root(gram, sums, m, d, p)[1] for p in range(most + 1)]))
         value, _ = _unit_root(*_windowed(row, chosen + 1 + d), d, chosen)
         if d == 0:
             statistic, used = value, chosen
         if value <= UNIT_ROOT_5_PERCENT:
-            return d, statistic, used
-    return max_d, statistic, used
+            return d, statistic, used, "rejected"
+    return max_d, statistic, used, "not_rejected"
 
 
 def difference_order(
     df: DataFrame,
-    max_lag: int = 31,
     p: int | None = None,
     max_d: int = 2,
     key: Sequence[str] = KEY,
@@ -190,19 +195,25 @@ def difference_order(
     """Differences needed until the unit-root test rejects at 5 percent, at most ``max_d``.
 
     ``p`` differenced lags enter the regression; without it the number with the smallest
-    information criterion is taken, out of at most ``usual_lags`` and what ``max_lag`` allows.
+    information criterion is taken, out of ``usual_lags`` of the series' length. Every series has a row;
+    ``status`` tells whether the test rejected, never did up to ``max_d``, or had too short a
+    series.
     """
-    if p is not None:
-        max_lag = max(max_lag, p + 1 + max_d)
-    moments = lag_moments(df, max_lag, key, ts, value).where(F.col("n") > 2 * max_lag)
+    if p is None:
+        longest = df.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
+        reach = usual_lags(longest) + 1 + max_d
+    else:
+        reach = p + 1 + max_d
+    moments = lag_moments(df, reach, key, ts, value)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [_order_of(row, max_lag, max_d, p) for row in batch.itertuples()]
+            found = [_order_of(row, max_d, p) for row in batch.itertuples()]
             out = batch[list(key)].copy()
-            out["d"] = [f[0] for f in found]
-            out["statistic"] = [f[1] for f in found]
-            out["lags"] = [f[2] for f in found]
+            out["d"] = pd.array([f[0] for f in found], "Int32")
+            out["statistic"] = pd.array([f[1] for f in found], "Float64")
+            out["lags"] = pd.array([f[2] for f in found], "Int32")
+            out["status"] = [f[3] for f in found]
             yield out
 
     schema = T.StructType(
@@ -211,6 +222,7 @@ def difference_order(
             T.StructField("d", T.IntegerType()),
             T.StructField("statistic", T.DoubleType()),
             T.StructField("lags", T.IntegerType()),
+            T.StructField("status", T.StringType()),
         ]
     )
     return moments.mapInPandas(solve, schema)

@@ -66,6 +66,20 @@ def test_difference_order(spark, kind, order):
     assert correlation.difference_order(frame(spark, shaped(2500, kind, 3))).first().d == order
 
 
+def test_short_and_stubborn_series_have_a_status(spark):
+    short = correlation.difference_order(frame(spark, shaped(2, "ar"))).first()
+    assert short.status == "short" and short.d is None
+    assert correlation.difference_order(frame(spark, shaped(2500, "double", 3)), max_d=1).first().status == "not_rejected"
+    row = correlation.partial_autocorrelation(frame(spark, shaped(10, "ar")), 8).collect()
+    assert [(r.status, r.lag) for r in row] == [("short", None)]
+
+
+def test_lags_grow_with_the_series(spark):
+    assert correlation.usual_lags(9000) > 30
+    row = correlation.difference_order(frame(spark, shaped(9000, "walk", 3))).first()
+    assert row.status == "rejected" and row.d == 1
+
+
 def wide(n=800):
     pdf = series(n, sites=(1, 2))
     rng = np.random.default_rng(9)
