@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meterline.catalog.registry import POSITIONS, SERIES, query, rnd, rounded
-from meterline.functions.clock import cutoff
 from meterline.operators import features, neighbours, splits, trees
 from meterline.operators.accuracy import metrics
 from meterline.operators.trees import TreeParams
 from meterline.plans import models, views
-from meterline.session import KEY
+from meterline.session import KEY, scratch_path
+from meterline.sources import tables
 
 # Budgets of the registered queries; the defaults of the functions are those of the reference.
 FIRST = TreeParams(rounds=4, max_depth=3, learning_rate=0.3)
@@ -80,23 +80,37 @@ def tree_tuning(spark, sf):
 
 @query("tree_inference")
 def tree_inference(spark, sf):
-    """Next step of every site from the rows known at a given time, and its true value."""
+    """Next step of every site from the rows known at a given time, and its true value.
+
+    The models are written by the training and read back; rows of a removed period train nothing.
+    """
     matrix = _matrix(spark, sf)
-    trained = models.train_sites(matrix, FIRST, FIRST, top=10)
+    periods = spark.sql(
+        "select 'production' as etype, 2 as site_id, timestamp'2024-01-05' as start_ts, timestamp'2024-01-08' as end_ts"
+    )
+    root = scratch_path(spark, "models")
+    models.save_sites(models.train_sites(matrix, FIRST, FIRST, top=10, periods=periods), root)
+    trained = models.load_sites(root, trees.site_list(matrix))
     return models.infer_sites(matrix, trained, now="2024-01-28 10:07:00", delay_days=1)
 
 
 @query("realtime_window")
 def realtime_window(spark, sf):
-    """Forecast from the readings of the last steps only; equal to the one from the whole series."""
-    now = F.lit("2024-01-28 10:07:00").cast("timestamp")
-    grid = views.grid(spark, sf)
-    reach = models.realtime_reach(4, 1)
-    end = cutoff(now, 1)
-    start = F.timestamp_seconds(F.unix_seconds(end) - F.lit(reach * 900))
-    recent = grid.where(F.col("ts").between(start, end))
-    rows = features.feature_matrix(recent, None, 4, 1, 1, regular=True)
-    return models.latest(rows)
+    """Newest feature row of every group, read from the operational tables of the last steps only.
+
+    Events are the readings of two databases; all meters of a site make up its consumption.
+    """
+    made = views.readings(spark, sf).select(
+        "event_id", F.concat(F.lit("S"), F.col("site_id").cast("string")).alias("site"), "sn", "dls", "ap", "etype"
+    )
+    stored = {"a.std_smart": made.where("etype = 'consumption'"), "b.std_smart": made.where("etype = 'production'")}
+    rows = tables.extract(lambda name: stored[name].drop("etype"), {"a": ["std_smart"], "b": ["std_smart"]})
+    groups = made.select("site", "sn").distinct().select(
+        "site", "sn", F.lit("consumption").alias("etype"),
+        F.substring("site", 2, 10).cast("int").alias("site_id"),
+    )
+    recent = models.realtime_matrix(rows, groups, "2024-01-28 10:07:00", n=4, calendar_on=False)
+    return models.latest(recent)
 
 
 @query("experiment_grid")

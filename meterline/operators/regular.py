@@ -77,9 +77,10 @@ def resample(
     """15-minute sums on a full grid; an empty step is 0. ``firsts`` columns hold one value per
     key (site name, serial): it is taken over to the empty steps."""
     sums, firsts = list(sums), list(firsts)
-    grid = regular_grid(bin_sums(df, key, ts, sums, firsts), key).fillna(0.0, sums)
+    # The grid reads the sums twice; written once, the raw readings are scanned once.
+    steps = stored(bin_sums(df, key, ts, sums, firsts), "step-sums")
+    grid = regular_grid(steps, key).fillna(0.0, sums)
     if firsts:
-
         grid = fill(grid, firsts, key)
     return grid
 

@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from meterline.functions.clock import cutoff, shift_steps
 from meterline.operators.accuracy import metrics
-from meterline.operators.clean import known_until, latest
+from meterline.operators.clean import drop_periods, known_until, latest
 from meterline.operators.features import check_columns, ewm_reach, feature_matrix, naive
 from meterline.operators.neighbours import knn
 from meterline.operators.regular import group_sum, resample
 from meterline.operators.splits import expanding_folds, held_out, ratio_split
 from meterline.operators.trees import (
-    TreeParams, feature_importance, fit_trees, predict, records_frame, side_by_side, site_list, site_rows, top_features,
+    TreeParams, feature_importance, fit_trees, load_model, model_path, predict, records_frame, save_model, side_by_side, site_list, site_rows, top_features,
     tune_trees, union_all,
 )
 from meterline.session import KEY, STEPS_PER_DAY, scratch_path
@@ -84,8 +84,14 @@ def train_sites(
     tuning_rounds: int = 1000,
     threads: int = 8,
     key: Sequence[str] = KEY,
+    periods: DataFrame | None = None,
 ) -> list[SiteModel]:
-    """One model per site group of the feature matrix, cut 80/10/10 by position."""
+    """One model per site group of the feature matrix, cut 80/10/10 by position.
+
+    Rows inside ``periods`` (``drop_periods``) are left out after the lags were taken, before the cut.
+    """
+    if periods is not None:
+        matrix = drop_periods(matrix, periods, key)
     split = stored_by_site(ratio_split(matrix, key, mode="cuts"), key)
     features, targets = features_of(matrix, key), targets_of(matrix)
     return side_by_side(
@@ -98,6 +104,24 @@ def train_sites(
     )
 
 
+def save_sites(models: Sequence[SiteModel], root: str) -> None:
+    """Write every model to the folder of its energy type, site and step."""
+    for m in models:
+        for target, model in m.models.items():
+            save_model(model, model_path(root, *m.site, int(target.split("+")[1])))
+
+
+def load_sites(root: str, sites: Sequence[tuple], targets: Sequence[str] = ("ap+1",)) -> list[SiteModel]:
+    """Models that ``save_sites`` wrote, for scoring in another session; the features are those the
+    models were fitted on."""
+    found = []
+    for site in sites:
+        models = {t: load_model(model_path(root, *site, int(t.split("+")[1]))) for t in targets}
+        features = next(iter(models.values())).stages[0].getInputCols()
+        found.append(SiteModel(tuple(site), list(features), models, TreeParams()))
+    return found
+
+
 def score_sites(
     matrix: DataFrame, models: Sequence[SiteModel], key: Sequence[str] = KEY
 ) -> DataFrame:

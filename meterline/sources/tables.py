@@ -42,10 +42,11 @@ def columns_of(table: str) -> list[str] | None:
 
 
 def extract(reader: Reader, tables: Mapping[str, Sequence[str]]) -> DataFrame:
-    """All reading tables of all databases, each row with ``database``, ``table`` and the
-    ``table_rank`` of its table in the order given. Columns a table lacks are null."""
+    """All reading tables of all databases, each row with ``database``, ``table`` and the ranks
+    ``database_rank`` and ``table_rank`` in the order given, as ``range_scan`` reads them. Columns a
+    table lacks are null."""
     parts = []
-    for database, names in tables.items():
+    for place, (database, names) in enumerate(tables.items()):
         for rank, name in enumerate(names):
             if "std" not in name:
                 continue
@@ -53,7 +54,10 @@ def extract(reader: Reader, tables: Mapping[str, Sequence[str]]) -> DataFrame:
             wanted = columns_of(name)
             parts.append(
                 (rows.select(*wanted) if wanted else rows).withColumns(
-                    {"database": F.lit(database), "table": F.lit(name), "table_rank": F.lit(rank)}
+                    {
+                        "database": F.lit(database), "table": F.lit(name),
+                        "database_rank": F.lit(place), "table_rank": F.lit(rank),
+                    }
                 )
             )
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

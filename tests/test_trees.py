@@ -8,6 +8,7 @@ from meterline.operators import trees
 from meterline.operators.features import feature_matrix
 from meterline.operators.trees import TreeParams
 from meterline.plans import models
+from meterline.sources.tables import extract
 
 
 @pytest.fixture(scope="module")
@@ -86,13 +87,14 @@ def test_short_window_gives_the_same_last_row(spark):
 
 
 def test_realtime_rows_from_tables(spark):
-    parts = []
+    held = {}
     for site, rank in (("A", 0), ("B", 2)):
-        pdf = series(1500, seed=rank).assign(site=site, sn=1, database_rank=0, table_rank=rank)
-        parts.append(pdf.rename(columns={"ts": "dls"}).drop(columns=["etype", "site_id"]))
-    rows = pd.concat(parts)
+        pdf = series(1500, seed=rank).assign(site=site, sn=1)
+        held[f"a.std_smart_{site}"] = pdf.rename(columns={"ts": "dls"}).drop(columns=["etype", "site_id"])
+    rows = pd.concat(held.values())
+    given = extract(lambda name: spark.createDataFrame(held[name]), {"a": ["std_smart_A", "other", "std_smart_B"]})
     groups = spark.createDataFrame([("consumption", 1, "A", 1), ("consumption", 1, "B", 1)], "etype string, site_id int, site string, sn long")
-    got = models.realtime_matrix(spark.createDataFrame(rows), groups, "2024-01-12 10:07:00", n=4, calendar_on=False)
+    got = models.realtime_matrix(given, groups, "2024-01-12 10:07:00", n=4, calendar_on=False)
     last = got.orderBy(F.col("ts").desc()).first()
     total = rows.groupby("dls")["ap"].sum().rename_axis("ts").reset_index().assign(etype="consumption", site_id=1)
     want = feature_matrix(frame(spark, total), n=4, horizon=0, calendar_on=False).where("ts = timestamp'2024-01-11 10:00:00'").first()
