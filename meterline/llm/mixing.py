@@ -120,7 +120,7 @@ def _exchanged(rows: DataFrame, cuts: DataFrame, n: int, broadcast_rows: int, lo
     brings a source nearer to its target.
 
     What is missing is less than any document left out. Per source the shortest of those, and about ``looked_at``
-    documents taken and left out, those with the smallest ``h``, are compared in pairs.
+    documents each with the smallest ``h``, taken mostly, and the largest, left out mostly, are compared in pairs.
     """
     docs = rows.groupBy("source").agg(F.count("*").alias("docs"))
     known = cuts.alias("p").join(docs.alias("d"), F.col("p.source").eqNullSafe(F.col("d.source"))).select(
@@ -130,8 +130,8 @@ def _exchanged(rows: DataFrame, cuts: DataFrame, n: int, broadcast_rows: int, lo
         "r.size > 0 and p.gap > 0").select(
         "r.source", "p.gap", F.struct("r.size", "r.h").alias("doc"),
         taken_by(F.col("p.cuts"), F.col("r.size"), F.col("r.h")).alias("taken"),
-        # The hash as a share of its range, 0 to 1.
-        ((F.col("r.h") / float(1 << 64) + 0.5) * F.col("p.docs") < looked_at).alias("near"),
+        # The hash runs from -0.5 to 0.5 of its range.
+        ((0.5 - F.abs(F.col("r.h") / float(1 << 64))) * F.col("p.docs") < looked_at).alias("near"),
         (F.col("r.n") == 1).alias("single"))
     lists = seen.where("single").groupBy("source").agg(
         F.max("gap").alias("gap"), F.min(F.when(~F.col("taken"), F.col("doc"))).alias("least"),
