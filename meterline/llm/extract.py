@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterline.llm.shared import own
+from meterline.llm.shared import in_batches, own
 
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -263,4 +263,4 @@ def extract_main_text(
                 [*batch.columns[:len(carry)], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 names=[*carry, "text", "n_chars"])
 
-    return rows.mapInArrow(run, schema)
+    return in_batches(rows, run, schema)

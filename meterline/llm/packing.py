@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.taskcontext import TaskContext
 
+from meterline.llm.shared import in_batches
+
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()),
     T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()),
@@ -204,4 +206,4 @@ def pack(
         if waiting:
             yield flush(last=True)
 
-    return rows.mapInArrow(run, schema)
+    return in_batches(rows, run, schema)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,20 @@ def own(name: str) -> str:
     return f"__{name}_{uuid.uuid4().hex[:8]}"
 
 
+def findable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did, if it isn't installed for them."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
+def in_batches(rows: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` whose workers find this package."""
+    findable(rows.sparkSession)
+    return rows.mapInArrow(run, schema)
+
+
 def numbered(df: DataFrame, number: str, name: str) -> DataFrame:
     """The rows with a number each, written to the shared folder, so that the numbers stay as they are.
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterline.llm.components import components
-from meterline.llm.shared import numbered, own, sized
+from meterline.llm.shared import in_batches, numbered, own, sized
 from meterline.session import stored
 
 BITS = 64
@@ -60,7 +60,7 @@ def with_fingerprints(
                 [fingerprint_of(t.as_py(), shingle, seed) for t in batch.column(len(keep))], "u8").view("i8")
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.array(prints)], names=[*keep, name])
 
-    return rows.mapInArrow(run, schema)
+    return in_batches(rows, run, schema)
 
 
 def block_keys(fingerprint: Column, distance: int, spare: int) -> list[Column]:

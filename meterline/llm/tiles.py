@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterline.llm.components import components
-from meterline.llm.shared import numbered, own
+from meterline.llm.shared import in_batches, numbered, own
 from meterline.session import stored
 
 #: Room for rounding in products of doubles.
@@ -126,7 +126,7 @@ def near_duplicates(
     number, kept = own("row"), own("key")
     rows = vectors.select(F.col(key).alias(kept), F.col(group).alias("label"), F.col(embedding).alias("v"))
     schema = T.StructType([*rows.select(kept, "label").schema.fields, *T._parse_datatype_string(_PREPARED).fields])
-    prepared = numbered(rows.mapInArrow(lambda it: prepare(it, 2), schema), number, "vectors")
+    prepared = numbered(in_batches(rows, lambda it: prepare(it, 2), schema), number, "vectors")
     usable = prepared.where("label is not null and codes is not null")
 
     width = 2.0 / slices

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterline.llm.shared import own
+from meterline.llm.shared import in_batches, own
 from meterline.session import stored
 
 # Letters that look like Latin ones, and digits and signs that stand for letters.
@@ -99,7 +99,7 @@ def _counted(sample: DataFrame, only: set[str] | None, shortest: int, longest: i
                     [pa.array([p for p, _ in part], pa.string()), pa.array([toxic] * len(part), pa.int32()),
                      pa.array([n for _, n in part], pa.int64())], names=["pattern", "toxic", "n"])
 
-    return sample.select("text", "toxic").mapInArrow(run, "pattern string, toxic int, n bigint").groupBy(
+    return in_batches(sample.select("text", "toxic"), run, "pattern string, toxic int, n bigint").groupBy(
         "pattern", "toxic").agg(F.sum("n").alias("n"))
 
 
@@ -111,10 +111,12 @@ def learn(
     """The lexicon and score that fit a bounded sample of labelled rows.
 
     ``labels`` has key and label, given already without the held-out ones. At most ``most`` labels, those with the
-    smallest hash of their key, choose the sample; its texts are written to the shared folder. A pattern is the beginning of
+    smallest hash of their key, choose the sample; its distinct texts are written to the shared folder, so that copies of
+    one text count once. A pattern is the beginning of
     a folded word, or a whole word. Its weight is the logarithm of how much more often
     toxic documents hold it; patterns of ``least`` toxic documents and a weight of ``weight_from`` stay, the ``patterns``
-    best of them at most, and of two that begin alike the longer one only if it weighs more by 0.5. A pair of
+    best of them at most. A pattern gives way to a longer one that four fifths of its toxic documents hold, and
+    of two that begin alike the longer one stays beside the shorter only if it weighs more by 0.5. A pair of
     neighbouring words that holds a match but stands in three clean documents and in no toxic one becomes an
     exception phrase, beside those given. Base and slopes are a logistic regression on the
     sample. Keys that repeat among the labels are one, toxic if any says so; missing keys and labels are left out.
@@ -124,7 +126,8 @@ def learn(
         F.max(F.col(label).cast("int")).alias("toxic")).orderBy(F.xxhash64(F.col("key").cast("string")), "key").limit(most)
     sample = stored(
         docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(
-            F.broadcast(chosen), "key").select("key", "text", "toxic"), "sample")
+            F.broadcast(chosen), "key").groupBy(F.sha2("text", 256).alias("hash")).agg(
+            F.first("text").alias("text"), F.max("toxic").alias("toxic")), "sample")
     totals = dict(sample.groupBy("toxic").count().collect())
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     lexicon = Lexicon({}, dict.fromkeys(fold(e).strip() for e in exceptions))
@@ -140,7 +143,8 @@ def learn(
         _counted(sample.where("toxic = 0"), set(frequent), shortest, longest).toLocalIterator())
     weight = {p: math.log((n + 0.5) / (toxic + 1)) - math.log((against.get(p, 0) + 0.5) / (clean + 1))
               for p, n in frequent.items()}
-    best = sorted((p for p, w in weight.items() if w >= weight_from),
+    successors = _successors(frequent)
+    best = sorted({_specific(p, successors) for p, w in weight.items() if w >= weight_from},
                   key=lambda p: (-weight[p] * math.log(frequent[p]), p))[:patterns]
     for p in sorted(best, key=lambda p: (len(p), p)):
         shorter = max((weight[p[:n]] for n in range(shortest, len(p)) if p[:n] in lexicon.weights), default=-math.inf)
@@ -154,6 +158,22 @@ def learn(
     return lexicon
 
 
+def _successors(frequent: dict[str, int], share: float = 0.8) -> dict[str, str]:
+    """Per beginning the one longer by a letter that most of its documents hold, ``share`` of them at least."""
+    found: dict[str, tuple[int, str]] = {}
+    for longer, n in frequent.items():
+        shorter = longer[:-1]
+        if longer[-1] != " " and n >= share * frequent.get(shorter, math.inf):
+            found[shorter] = max(found.get(shorter, (0, "")), (n, longer))
+    return {shorter: longer for shorter, (_, longer) in found.items()}
+
+
+def _specific(pattern: str, successors: dict[str, str]) -> str:
+    while pattern in successors:
+        pattern = successors[pattern]
+    return pattern
+
+
 def _spared(sample: DataFrame, lexicon: Lexicon, least: int = 3) -> list[str]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
@@ -170,7 +190,7 @@ def _spared(sample: DataFrame, lexicon: Lexicon, least: int = 3) -> list[str]:
                 labels += [toxic.as_py()] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.string()), pa.array(labels, pa.int32())], names=["pair", "toxic"])
 
-    counted = sample.select("text", "toxic").mapInArrow(run, "pair string, toxic int").groupBy("pair").agg(
+    counted = in_batches(sample.select("text", "toxic"), run, "pair string, toxic int").groupBy("pair").agg(
         F.sum("toxic").alias("toxic"), F.count("*").alias("n"))
     return [r["pair"] for r in counted.where((F.col("toxic") == 0) & (F.col("n") >= least)).toLocalIterator()]
 
@@ -217,4 +237,4 @@ def scored(
             out = [pa.array(score), pa.array((score >= 0.5).astype("i4")), *map(pa.array, x.T.copy())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(carry)], *out[:len(names)]], names=[*carry, *names])
 
-    return rows.mapInArrow(run, schema)
+    return in_batches(rows, run, schema)
