@@ -133,33 +133,33 @@ def fill(
 
 
 def ranked_values(
-    df: DataFrame, key: Sequence[str], value: str, buckets: int = 32, weight: str | None = None
+    df: DataFrame, key: Sequence[str], value: str, weight: str | None = None, bucket_rows: int = 250_000
 ) -> DataFrame:
     """Distinct values per group with their count, the rows ``below`` them and the rows ``total``.
 
     ``weight`` names a column with the number of rows a row stands for.
 
     Equal values are merged first and written, as they are read several times. The distinct values
-    are cut at approximate quantiles into buckets that are sorted apart from each other; the counts
-    of the buckets before are added, so ranks are exact whatever the cuts are.
+    are range-partitioned by group and value into buckets of about ``bucket_rows``, so that their number
+    follows the rows and a large group takes as many as it needs. Buckets are sorted apart from each other
+    and the counts of those before are added, so ranks are exact wherever the cuts are.
     """
     key = list(key)
     if not key:
         one = df.withColumn("_all", F.lit(0))
-        return ranked_values(one, ["_all"], value, buckets, weight).drop("_all")
+        return ranked_values(one, ["_all"], value, weight, bucket_rows).drop("_all")
     counts = stored(
         df.where(F.col(value).isNotNull())
         .groupBy(*key, value)
         .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("cnt")),
         "value-counts",
     )
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = counts.groupBy(*key).agg(
-        F.percentile_approx(value, probs, buckets * 8).alias("_cuts")
-    )
-    placed = counts.join(cuts, key).select(
-        *key, value, "cnt",
-        F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col(value))).alias("_bucket"),
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, -(-counts.count() // bucket_rows))
+    # Written, for the cuts are drawn from a sample and must not change when a lost task is run again.
+    placed = stored(
+        counts.repartitionByRange(parts, *key, value).withColumn("_bucket", F.spark_partition_id()),
+        "value-buckets",
     )
     whole = Window.partitionBy(*key)
     earlier = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
