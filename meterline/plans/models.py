@@ -152,18 +152,22 @@ def evaluate_sites(
     sites: DataFrame | None = None,
     key: Sequence[str] = KEY,
 ) -> DataFrame:
-    """Measures on the last tenth of each site, for the first target; a site without a model or
-    without test rows gets a row with the status ``error``."""
+    """Measures on the last tenth of each site, one row per site and target; a site without a model
+    or without test rows gets a row with the status ``error``."""
     scored = score_sites(stored_by_site(held_out(matrix, key), key), models, key)
-    target = next(iter(models[0].models)).split("+")[1]
-    result = metrics(
-        scored.select(*key, F.col(f"`true_ap+{target}`").alias("y"), F.col(f"`pred_t+{target}`").alias("p")),
-        key,
-    ).withColumnRenamed("n", "n_rows_test")
+    targets = list(models[0].models)
+    pairs = F.inline(F.array(*[
+        F.struct(
+            F.lit(t).alias("target"), F.col(f"`true_{t}`").alias("y"), F.col(f"`pred_t+{t.split('+')[1]}`").alias("p")
+        ) for t in targets
+    ]))
+    by = [*key, "target"]
+    result = metrics(scored.select(*key, pairs), by).withColumnRenamed("n", "n_rows_test")
     if sites is None:
         return result.withColumn("status", F.lit("success"))
     status = F.when(F.col("n_rows_test").isNull(), "error").otherwise("success")
-    return sites.select(*key).distinct().join(result, list(key), "left").withColumn("status", status)
+    wanted = sites.select(*key).distinct().withColumn("target", F.explode(F.array(*[F.lit(t) for t in targets])))
+    return wanted.join(result, by, "left").withColumn("status", status)
 
 
 def infer_sites(

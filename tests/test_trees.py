@@ -20,12 +20,14 @@ def matrix(spark):
     return feature_matrix(frame(spark, pdf), n=2, previous_days=0, stats_on=False, horizon=2).persist()
 
 
-def test_training_evaluation_and_inference(spark, matrix):
+def test_training_evaluation_and_inference(spark, matrix, path):
     trained = models.train_sites(matrix, TreeParams(rounds=3, max_depth=3), TreeParams(rounds=12, max_depth=4, learning_rate=0.2), top=6)
     assert [m.site for m in trained] == [("consumption", 1), ("consumption", 2)]
     assert all(len(m.features) <= 6 and set(m.models) == {"ap+1", "ap+2"} for m in trained)
     sites = matrix.select("etype", "site_id").unionByName(spark.createDataFrame([("production", 9)], "etype string, site_id int"))
-    rows = {r.site_id: r for r in models.evaluate_sites(matrix, trained, sites).collect()}
+    judged = models.evaluate_sites(matrix, trained, sites).collect()
+    assert {(r.site_id, r.target) for r in judged} == {(s, t) for s in (1, 2, 9) for t in ("ap+1", "ap+2")}
+    rows = {r.site_id: r for r in judged if r.target == "ap+1"}
     assert rows[9].status == "error" and rows[1].status == "success"
     test = models.held_out(matrix)
     naive = {r.site_id: r.mae for r in test.groupBy("site_id").agg(F.avg(F.abs(F.col("`ap+1`") - F.col("`ap-0`"))).alias("mae")).collect()}
@@ -33,10 +35,21 @@ def test_training_evaluation_and_inference(spark, matrix):
     next_step = models.infer_sites(matrix, trained, now="2024-01-10 10:07:00", delay_days=1).collect()
     assert {str(r.ts) for r in next_step} == {"2024-01-09 10:00:00"} and len(next_step) == 2
     assert models.infer_sites(matrix, trained, next_step_only=False, test_only=True).count() == test.count()
+    models.save_sites(trained, path)
+    stored = models.load_sites(path, [m.site for m in trained], ["ap+1", "ap+2"])
+    assert [m.features for m in stored] == [m.features for m in trained]
+    again = models.infer_sites(matrix, stored, now="2024-01-10 10:07:00", delay_days=1).collect()
+    assert sorted(again) == sorted(next_step)
     table = models.importance_table(matrix, trained)
     assert table.where("rank = 1").count() == 4
 
 
+def test_removed_periods_train_nothing(spark, matrix):
+    gone = spark.sql("select 'consumption' as etype, 1 as site_id, cast(null as timestamp) as start_ts, cast(null as timestamp) as end_ts")
+    trained = models.train_sites(matrix, TreeParams(rounds=1, max_depth=2), TreeParams(rounds=1, max_depth=2), top=2, periods=gone)
+    assert [m.site for m in trained] == [("consumption", 2)]
+
+
 def test_save_and_load(matrix, path):
     model = trees.fit_trees(matrix.where("site_id = 1"), ["ap-0", "hour-0"], "ap+1", TreeParams(rounds=2, max_depth=2))
     where = trees.model_path(path, "consumption", 1)
