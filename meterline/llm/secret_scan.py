@@ -22,24 +22,53 @@ ISSUED = r"gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|[rs]k_live_[A-
 LIVE_LOOKING = r"^(?=.{16,})(?=.*[0-9])(?=.*[A-Za-z])"
 
 
+#: Lengths summed at once on the way to the places of matches.
+_STRETCH = 128
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _total(lengths: Column) -> Column:
+    return F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def _runs(lengths: Column) -> Column:
+    """Array of the sums of all lengths before each stretch of ``_STRETCH``."""
+    stretches = F.transform(
+        F.sequence(F.lit(0), F.floor(F.size(lengths) / _STRETCH).cast("int")),
+        lambda b: _total(F.slice(lengths, b * _STRETCH + 1, _STRETCH)))
+    return let(stretches, lambda sums: F.transform(sums, lambda _, b: _total(F.slice(sums, 1, b))))
+
+
 def matches(text: Column, pattern: str, group: int, least: int, kind: str) -> Column:
     """``kind, start, end, from, value`` of all leftmost non-overlapping matches whose group is long enough.
 
     Code points from 0, end exclusive; ``from`` is where the value begins. The text is split
-    at the matches, and the lengths of the parts give their places.
+    at the matches, and the lengths of the parts give their places, added up by stretches, so
+    that a text of very many matches costs little more than its length.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
-    sizes = F.transform(found, lambda m: F.length(m))
-    spots = F.transform(F.sequence(F.lit(1), F.size(found)), lambda i: F.struct(
-        (F.aggregate(F.slice(gaps, 1, i), F.lit(0), lambda a, x: a + x)
-         + F.aggregate(F.slice(sizes, 1, i - 1), F.lit(0), lambda a, x: a + x)).cast("long").alias("start"),
-        F.element_at(sizes, i).cast("long").alias("size"), F.element_at(values, i).alias("value")))
-    spans = F.transform(spots, lambda s: F.struct(
-        F.lit(kind).alias("kind"), s["start"].alias("start"), (s["start"] + s["size"]).alias("end"),
-        (s["start"] + s["size"] - F.length(s["value"])).alias("from"), s["value"].alias("value")))
-    spans = F.filter(spans, lambda s: F.length(s["value"]) >= least)
+    parts = F.struct(found.alias("found"), values.alias("values"), F.split(text, pattern, -1).alias("gaps"))
+
+    def placed(p: Column) -> Column:
+        steps = F.transform(p["found"], lambda m, i: (F.length(m) + F.length(F.get(p["gaps"], i))).cast("long"))
+        measured = let(steps, lambda s: F.struct(s.alias("steps"), _runs(s).alias("runs")))
+        return let(measured, lambda s: F.transform(
+            p["found"], lambda m, i: span(
+                F.get(s["runs"], F.floor(i / _STRETCH).cast("int"))
+                + _total(F.slice(s["steps"], F.floor(i / _STRETCH).cast("int") * _STRETCH + 1, i % _STRETCH))
+                + F.length(F.get(p["gaps"], i)), F.length(m), F.get(p["values"], i))))
+
+    def span(start: Column, size: Column, value: Column) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"), start.cast("long").alias("start"), (start + size).cast("long").alias("end"),
+            (start + size - F.length(value)).cast("long").alias("from"), value.alias("value"))
+
+    spans = F.filter(let(parts, placed), lambda s: F.length(s["value"]) >= least)
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,from:bigint,value:string>>")
     return F.when(text.rlike(pattern), spans).otherwise(none)
 

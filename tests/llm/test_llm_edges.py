@@ -169,6 +169,14 @@ def test_secrets(spark):
     assert secret_scan.find_secrets(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_places_in_a_text_with_very_many_matches(spark):
+    text = "".join(f"🙂 token={'x' * (6 + i % 5)}{i} secret:ab\n" for i in range(20_000))
+    got = secret_scan.find_secrets(docs(spark, [(1, text)])).first()
+    pattern, group, least = secret_scan.KINDS["assign"]
+    want = [(m.start(), m.end()) for m in re.finditer(pattern, text) if len(m[group]) >= least]
+    assert [(s.start, s.end) for s in got.base] == want and len(want) == 20_000
+
+
 def test_licences(spark):
     rows = [(1, "Text.\nLicensed under the Apache License, Version 2.0. More."), (2, "RELEASED UNDER THE MIT LICENSE"), (3, None), (4, ""), (5, LONG),
             (6, "This program is free software: you can redistribute it and/or modify it. Licensed under CC BY-NC 4.0"),
