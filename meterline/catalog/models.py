@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meterline.catalog.registry import POSITIONS, SERIES, query, rnd, rounded
+from meterline.catalog.registry import POSITIONS, READINGS, SERIES, query, rnd, rounded
 from meterline.operators import features, neighbours, splits, trees
 from meterline.operators.accuracy import metrics
 from meterline.operators.trees import TreeParams
@@ -94,7 +94,32 @@ def tree_inference(spark, sf):
     return models.infer_sites(matrix, trained, now="2024-01-28 10:07:00", delay_days=1)
 
 
-@query("realtime_window")
+REALTIME_END = "TIMESTAMP '2024-01-27 10:00:00'"
+# 96 steps of the day shift, 3 lags, and 73 rows that the exponential mean reaches back.
+REALTIME_START = f"{REALTIME_END} - 172 * INTERVAL 15 MINUTE"
+
+
+@query(
+    "realtime_window",
+    f"""WITH {READINGS}, w AS (
+  SELECT *, row_number() OVER (PARTITION BY site_id, sn, dls ORDER BY etype) AS k FROM r WHERE dls BETWEEN {REALTIME_START} AND {REALTIME_END}
+), bins AS (
+  SELECT site_id, sn, time_bucket(INTERVAL '15 minutes', dls) AS ts, sum(ap) AS ap FROM w WHERE k = 1 GROUP BY 1, 2, 3
+), steps AS (
+  SELECT site_id, sn, unnest(generate_series(min(ts), max(ts), INTERVAL '15 minutes')) AS ts FROM bins GROUP BY 1, 2
+), total AS (
+  SELECT site_id, ts, sum(coalesce(ap, 0.0::DOUBLE)) AS ap FROM steps LEFT JOIN bins USING (site_id, sn, ts) GROUP BY 1, 2
+), grid AS (
+  SELECT site_id, unnest(generate_series(min(ts), max(ts), INTERVAL '15 minutes')) AS ts FROM total GROUP BY 1
+), lags AS (
+  SELECT site_id, ts, {', '.join(f'lag(ap, {96 + j}) OVER s AS l{j}' for j in range(7))}
+  FROM grid LEFT JOIN total USING (site_id, ts) WINDOW s AS (PARTITION BY site_id ORDER BY ts)
+), known AS (
+  SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY ts DESC) AS k FROM lags
+  WHERE {' AND '.join(f'l{j} IS NOT NULL' for j in range(7))}
+)
+SELECT 'consumption' AS etype, site_id, ts, {', '.join(f'{rnd(f"l{j}")} AS "ap-{96 + j}"' for j in range(4))} FROM known WHERE k = 1""",
+)
 def realtime_window(spark, sf):
     """Newest feature row of every group, read from the operational tables of the last steps only.
 
@@ -110,7 +135,8 @@ def realtime_window(spark, sf):
         F.substring("site", 2, 10).cast("int").alias("site_id"),
     )
     recent = models.realtime_matrix(rows, groups, "2024-01-28 10:07:00", n=4, calendar_on=False)
-    return models.latest(recent)
+    names = [f"ap-{96 + j}" for j in range(4)]
+    return rounded(models.latest(recent).select(*KEY, "ts", *[f"`{c}`" for c in names]), *names)
 
 
 @query("experiment_grid")

@@ -19,7 +19,7 @@ def test_same_rows_as_sql(spark, con, name):
 
 
 @pytest.mark.parametrize(
-    "name", ["partial_autocorrelation", "difference_order", "realtime_window", "tree_inference"]
+    "name", ["partial_autocorrelation", "difference_order", "tree_inference"]
 )
 def test_has_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
