@@ -67,8 +67,8 @@ def tree_importance(spark, sf):
 
 @query("tree_tuning")
 def tree_tuning(spark, sf):
-    """Random search on all sites of one energy type together, best trial first by error."""
-    matrix = views.matrix(spark, sf, n=2)
+    """Random search on all consumption sites together, with one record per trial."""
+    matrix = views.matrix(spark, sf, n=2).where("etype = 'consumption'")
     split = splits.ratio_split(matrix, mode="cuts").persist()
     names = models.features_of(matrix)
     best, records = trees.tune_trees(

@@ -81,6 +81,18 @@ def test_tuning(matrix):
     assert min(r["mae"] for r in records) == [r["mae"] for r in records if r["max_depth"] == best.max_depth][0]
 
 
+def test_doubling_stops_where_the_full_fit_would(matrix):
+    cut = models.ratio_split(matrix.where("site_id = 1"), mode="cuts").persist()
+    train, val = cut.where("split = 'train'"), cut.where("split = 'val'")
+    names = ["ap-0", "ap-1", "hour-0"]
+    _, records = trees.tune_trees(train, val, names, "ap+1", trials=2, rounds=16, patience=1)
+    for r in records:
+        model = trees.fit_trees(train, names, "ap+1", trees.sample_params(r["trial"], 16))
+        rows = model.stages[0].transform(val.withColumn("label", F.col("`ap+1`"))).select("features", "label")
+        used, error = trees.best_rounds(trees.trees_of(model).evaluateEachIteration(rows, "absolute"), 1)
+        assert r["rounds"] == used and np.isclose(r["mae"], error)
+
+
 def test_experiment_grid(spark):
     flags = {"n": 3, "horizon": 1, "calendar": False, "stats": False, "weather": False}
     entries = [{"model": m, **flags} for m in ("naive", "trees", "knn")]
