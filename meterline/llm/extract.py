@@ -25,21 +25,31 @@ NEVER = frozenset(
     "head nav footer aside form button select option datalist script style title textarea noscript iframe template "
     "svg math object canvas audio video dialog menu input".split())
 ARTICLE = frozenset(["article", "main"])
-#: Elements that hold whole parts of a page.
-PARTS = frozenset("html body article main section div td center".split())
 #: Elements whose start ends an open paragraph, and those that end one of their own kind.
 ENDS_P = frozenset(
     "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre "
     "section table ul".split())
 ENDS_SAME = frozenset("li dt dd tr td th option".split())
-#: Words of class, id and role that mark what isn't the article.
+#: Names of classes and ids, without hyphens and underscores, and roles that mark what may not be the article.
 MARKS = frozenset(
     "ad ads adbox adcontainer adsense adslot adspace adunit advert advertisement advertisements advertising adverts alert "
     "announcement banner breadcrumb breadcrumbs comment commentlist comments complementary consent contentinfo cookie "
     "cookies dialog discussion disqus footer gdpr hidden login menu menus modal nav navbar navigation newsletter notice "
     "notices overlay pager pagination popup promo promoted promotion recommended recommendations related replies reply respond "
     "search share sharing side sidebar sidebars signup social sponsor sponsored subscribe subscription toolbar widget "
-    "widgets".split())
+    "widgets "
+    # Names made of two words: a mark inside another name, as in no-sidebar, says nothing.
+    "adbanner adblock adbox adsbox adslot adwrapper authorbox backtotop bottomnav commentform commentlist commentrespond "
+    "commentsarea commentsection commentslist cookiebanner cookiebar cookieconsent cookienotice cookiepolicy footernav "
+    "leftsidebar mainmenu mainnav mainnavigation morestories navbar navmenu newsletterform newslettersignup pagefooter pagenav "
+    "pagenavigation postnavigation primarynav readmore recommendedarticles relatedarticles relatedcontent relatedlinks relatedposts "
+    "relatedstories rightsidebar searchbar searchbox searchform sharebar sharebuttons sharelinks sidebarleft sidebarright "
+    "sidenav sitefooter sitenav sitenavigation skiplink skiplinks socialicons sociallinks socialmedia socialshare "
+    "sponsoredcontent subscribeform topmenu topnav usercomments widgetarea".split())
+#: Marks that are as well names of parts of an article, and so lower its score less.
+WEAK_MARKS = frozenset(
+    "alert announcement dialog discussion login menu menus notice notices pager promotion recommended recommendations related "
+    "replies reply respond search share sharing side social sponsor subscription toolbar".split())
 #: Marks that count outside an article only, where its own head may bear them.
 OUTER_MARKS = frozenset("header masthead topbar topnav".split())
 _TOKEN = re.compile(
@@ -49,7 +59,10 @@ _TOKEN = re.compile(
 _LOOSE = re.compile(r"<(?:/?[a-zA-Z!?][^<]*|/?)\Z")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _UNSEEN = re.compile(r"""\bstyle\s*=\s*["']?[^"'>]*\b(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
-_NAMES = re.compile(r"[a-z0-9]+")
+#: What the scores in a marked element are multiplied by.
+PENALTIES = {"!": 0.5, "!!": 0.05}
+_JOINTS = re.compile(r"[-_]+")
+_HEADING = re.compile(r"h[1-6]\Z")
 _BLANKS = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 
@@ -63,6 +76,7 @@ class Element:
     path: str
     shut: bool
     inside: bool  # within an article or main element
+    mark: str = ""  # ! or !!: bears a class or id that marks what may not be the article
 
 
 @dataclass
@@ -77,19 +91,27 @@ class Block:
         return _BLANKS.sub(" ", entities.unescape("".join(self.parts))).strip()
 
 
-def _marked(rest: str, inside: bool) -> bool:
+def _marks(rest: str, inside: bool) -> tuple[bool, str]:
+    """Whether an element is hidden or has the role of a part beside the article, and how whole class names or an id mark it."""
+    shut, mark = bool(_UNSEEN.search(rest)), ""
     for name, value in _ATTRIBUTE.findall(rest):
-        words = _NAMES.findall((value or name).lower())
-        if MARKS.intersection(words) or not inside and OUTER_MARKS.intersection(words):
-            return True
-    return bool(_UNSEEN.search(rest))
+        words = {_JOINTS.sub("", w) for w in (value or name).strip("\"'").lower().split()}
+        found = MARKS & words if inside else (MARKS | OUTER_MARKS) & words
+        if name.lower() in ("role", "hidden"):
+            shut = shut or bool(found) or name.lower() == "hidden"
+        elif found:
+            mark = max(mark, "!!" if found - WEAK_MARKS else "!")
+    return shut, mark
 
 
 def _element(name: str, rest: str, parent: Element) -> Element:
-    shut = parent.shut or name in NEVER or (name == "header" and not parent.inside)
+    shut, mark = parent.shut or name in NEVER or (name == "header" and not parent.inside), ""
     if not shut and name not in ("html", "body", "main") and rest:
-        shut = _marked(rest, parent.inside)
-    return Element(name, parent, f"{parent.path}/{name}", shut, parent.inside or name in ARTICLE)
+        shut, mark = _marks(rest, parent.inside)
+        if name in INLINE or name in ARTICLE or _HEADING.match(name):
+            mark = ""
+    # Blocks of a marked element have a path, and so a ratio, of their own.
+    return Element(name, parent, f"{parent.path}/{name}{mark}", shut, parent.inside or name in ARTICLE, mark)
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -199,46 +221,87 @@ def path_scores(paths: list[str], lengths: list[int], points: list[int], radius:
     return smooth(text) * np.log1p(smooth(marks) + 1)
 
 
+def _around(e: Element | None) -> Iterator[Element]:
+    while e is not None:
+        yield e
+        e = e.parent
+
+
+def _held(blocks: list[Block], sizes: list[int]) -> tuple[dict[int, int], dict[int, Element]]:
+    """Text by element, with all the elements inside it."""
+    held: dict[int, int] = {}
+    elements: dict[int, Element] = {}
+    for block, size in zip(blocks, sizes, strict=True):
+        for e in _around(block.at):
+            held[id(e)] = held.get(id(e), 0) + size
+            elements[id(e)] = e
+    return held, elements
+
+
 def main_text(page: str | None, spread: float = 0.5) -> str:
     """The article of a page, its blocks joined by empty lines.
 
-    Content blocks score at least ``spread`` standard deviations of all scores, or half the best; the smallest part of the page
-    that holds nine tenths of their text is the article, widened to the article or main element
-    around it. All its blocks count, short ones and headings too, but for those in elements that never hold main text.
+    Content blocks score at least ``spread`` standard deviations of all scores, or half the best. A class or id that marks an
+    element lowers the scores in it (``PENALTIES``), unless the element holds most of the text and no article or main is beside it. The outermost article or main element with most of the content bounds the article, or else nothing does. Of
+    the other blocks there belong to it: headings, and short blocks from the first content block to the end of the elements that
+    hold all content, but no marked ones and no lists of links; and what stands between a heading and the first content block.
     """
     found = [(b, t) for b in blocks_of(page or "") if (t := b.text())]
     if not found:
         return ""
+    blocks = [b for b, _ in found]
     lengths = [max(0, len(t) - min(len(t), b.linked)) for b, t in found]
-    scores = path_scores([b.at.path for b, _ in found], lengths, [len(_PUNCTUATION.findall(t)) for _, t in found])
+    scores = path_scores([b.at.path for b in blocks], lengths, [len(_PUNCTUATION.findall(t)) for _, t in found])
+    held, elements = _held(blocks, lengths)
+    # Beside an article or main element no other part of the page is the most of it.
+    articles = {id(a) for e in elements.values() if e.name in ARTICLE for a in _around(e)}
+    weighed = {i: PENALTIES[e.mark] for i, e in elements.items()
+               if e.mark and not (2 * held[i] > sum(lengths) and (not articles or e.inside or i in articles))}
+    marked = [next((e for e in _around(b.at) if id(e) in weighed), None) for b in blocks]
+    scores = scores * [min((weighed.get(id(e), 1.0) for e in _around(b.at)), default=1.0) for b in blocks]
     limit = min(spread * float(scores.std()), 0.5 * float(scores.max()))
-    held: dict[int, float] = {}
-    elements: dict[int, Element] = {}
-    total = 0.0
-    for (block, _), size, score in zip(found, lengths, scores, strict=True):
-        if score < limit:
-            continue
-        total += size
-        e = block.at
-        while e is not None:
-            held[id(e)] = held.get(id(e), 0.0) + size
-            elements[id(e)] = e
-            e = e.parent
-    # Deepest part of the page with nine tenths of the content.
-    able = [e for i, e in elements.items() if held[i] >= 0.9 * total and (e.name in PARTS or e.parent is None)]
-    home = max(able, key=lambda e: e.path.count("/"))
-    e = home
-    while e is not None:
-        if e.name in ARTICLE:
-            home = e
-        e = e.parent
-
-    def within(e: Element | None) -> bool:
-        while e is not None and e is not home:
-            e = e.parent
-        return e is home
-
-    return "\n\n".join(t for b, t in found if within(b.at))
+    linked = [n < len(t) / 2 for n, (_, t) in zip(lengths, found, strict=True)]
+    # The neighbours' text must not carry a list of links over the threshold.
+    content = [s >= limit and not (link and s < scores.max()) for s, link in zip(scores, linked, strict=True)]
+
+    held, elements = _held(blocks, [n if c else 0 for n, c in zip(lengths, content, strict=True)])
+    total = held[id(next(e for e in _around(blocks[0].at) if e.parent is None))]
+    bounds = [e for i, e in elements.items() if e.name in ARTICLE and 2 * held[i] > total]
+    bound = min(bounds, key=lambda e: e.path.count("/"), default=None)
+    inside = [bound is None or any(e is bound for e in _around(b.at)) for b in blocks]
+    content = [c and i for c, i in zip(content, inside, strict=True)]
+    # What all content blocks stand in.
+    home = bound
+    if home is None:
+        common = None
+        for block, c in zip(blocks, content, strict=True):
+            if c:
+                above = {id(e) for e in _around(block.at)}
+                common = [e for e in (_around(block.at) if common is None else common) if id(e) in above]
+        home = common[0]
+    first = content.index(True)
+
+    def short(i: int) -> bool:
+        return inside[i] and marked[i] is None and not linked[i]
+
+    def heading(i: int) -> bool:
+        if not inside[i] or not any(_HEADING.match(e.name) for e in _around(blocks[i].at)):
+            return False
+        # One in a marked element goes with the content behind it there.
+        return not marked[i] or any(c and m is marked[i] for c, m in zip(content[i:], marked[i:], strict=True))
+
+    keep = [c or (heading(i) or i > first and short(i)) and any(e is home for e in _around(blocks[i].at))
+            for i, c in enumerate(content)]
+    # The head: from the nearest heading on, over short blocks.
+    start = first
+    while start > 0 and (heading(start - 1) or short(start - 1)):
+        start -= 1
+    heads = [i for i in range(start, first) if heading(i)]
+    for i in range(heads[0] if heads else first, first):
+        keep[i] = True
+    if bound is not None:
+        keep = [k or short(i) for i, k in enumerate(keep)]
+    return "\n\n".join(t for k, (_, t) in zip(keep, found, strict=True) if k)
 
 
 def extract_main_text(
