@@ -1,4 +1,4 @@
-"""Secrets in texts, told apart by how many owners share them."""
+"""Secrets in texts, told apart by how many owners and repositories share them."""
 
 from __future__ import annotations
 
@@ -92,14 +92,14 @@ def _ordered(spans: Column) -> Column:
 
 def find_secrets(
     docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id",
-    carry: list[str] | None = None, example_owners: int = 3, digest_seed: str = "",
+    carry: list[str] | None = None, example_owners: int = 3, example_repositories: int = 10, digest_seed: str = "",
 ) -> DataFrame:
     """The columns ``carry`` (all by default) with ``base`` and ``spans`` (arrays of kind, start, end) and ``n_live, n_example``.
 
     ``base`` lists the matches of ``KINDS``. Their values, and the keys of ``ISSUED`` formats, are candidates: each is hashed,
     and over the whole corpus the distinct owners and repositories of a hash are counted. A value that
-    ``example_owners`` or more owners share is an example copied around. A live-looking one with
-    fewer owners gives a further span of kind ``live`` over the value itself. ``spans`` holds both.
+    ``example_owners`` or more owners share, or that stands in ``example_repositories`` or more repositories of however few owners,
+    is an example copied around. A live-looking one with fewer of both gives a further span of kind ``live`` over the value itself. ``spans`` holds both.
 
     Texts stay where they are: only hashes with owner and repository are shuffled, summed before by
     map-side combine, and joined back to the candidates, which Spark may split where a value is frequent.
@@ -127,9 +127,9 @@ def find_secrets(
     repositories = each.groupBy("hash", "repository").agg(F.count("*").alias("n")).groupBy("hash").agg(
         F.count("*").alias("repositories"))
     shared = stored(owners.join(repositories, "hash"), "ownership")
+    example = (F.col("owners") >= example_owners) | (F.col("repositories") >= example_repositories)
     judged = stored(each.join(shared, "hash").select(
-        number, "from", "end", (F.col("owners") >= example_owners).alias("example"),
-        ((F.col("owners") < example_owners) & F.col("looks_live")).alias("live")), "judged")
+        number, "from", "end", example.alias("example"), (~example & F.col("looks_live")).alias("live")), "judged")
     added = judged.groupBy(number).agg(
         F.collect_set(F.when(F.col("live"), F.struct(
             F.lit("live").alias("kind"), F.col("from").alias("start"), "end"))).alias("added"),
