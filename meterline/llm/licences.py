@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,11 +82,47 @@ NO_WORD = r"[^0-9a-z#]+"
 HINT = r"(?i)licen[cs]e|warrant|copyright|redistribut|public domain"
 
 
-def sentences_of(text: Column) -> Column:
-    """Structs ``norm, version``: lower-case words of each sentence, its version numbers as #, and the first of them."""
-    ended = F.split(F.regexp_replace(text, SENTENCE_END, "\n"), "[\n\r]+", -1)
-    return F.transform(ended, lambda s: F.struct(
-        F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), VERSION, "#"), NO_WORD, " ")).alias("norm"),
+# Borders of parts of a text: after : and ;, after a sentence, at blank lines; single line ends stay as they are.
+_SOFT, _HARD, _BLANK = "\x01", "\x02", "\x03"
+_BORDERS = f"\n{_SOFT}{_HARD}{_BLANK}"
+#: What is replaced, in this order, before known sentences are looked for; the text is in lower case.
+_STEPS = [
+    (r"\r\n?", "\n"),
+    # Signs of comments, quotes and lists at the beginnings of lines.
+    (r"(?m)^[^0-9a-z\n]+", ""),
+    (r"(?m)^(?:(?:rem|dnl)[ \t]+|(?:[0-9]{1,2}|[a-z])\)[ \t]+)[^0-9a-z\n]*", ""),
+    (r"\bv[.](?=\s*[0-9])", "v "),
+    (r"[.!?](?=[^0-9a-z]|$)", _HARD),
+    (r"[;:](?=[^0-9a-z]|$)", _SOFT),
+    (r"\n[ \t]*\n\s*", _BLANK),
+    (r"(?<![0-9])[.]|[.](?![0-9])", " "),
+    (rf"[^0-9a-z#.{_BORDERS}]+", " "),
+    (rf" *([{_BORDERS}]) *", "$1"),
+]
+
+
+def _pattern(sentences: dict[str, str]) -> str:
+    """Any known sentence between two borders, the longest first, over line ends, : and ; but not over sentence ends.
+
+    A blank line may stand before a link only.
+    """
+    def of(sentence: str) -> str:
+        words = [VERSION.replace("(", "(?:") + "|#" if w == "#" else "https?" if w == "http" else re.escape(w) for w in sentence.split()]
+        gaps = [f"[ \n{_SOFT}{_BLANK if w == 'https?' else ''}]+" for w in words]
+        return "".join(gap * (i > 0) + f"(?:{w})" for i, (w, gap) in enumerate(zip(words, gaps, strict=True)))
+
+    known = "|".join(of(s) for s in sorted(sentences, key=lambda s: (-len(s), s)))
+    return f"(?<=[{_BORDERS}])(?:{known})(?=[{_BORDERS}]|$)"
+
+
+def sentences_of(text: Column, sentences: dict[str, str]) -> Column:
+    """Structs ``norm, version`` of the known sentences in order: their lower-case words, version numbers as #, and the first of these."""
+    plain = F.lower(text)
+    for pattern, by in _STEPS:
+        plain = F.regexp_replace(plain, pattern, by)
+    found = F.regexp_extract_all(F.concat(F.lit("\n"), plain), F.lit(_pattern(sentences)), F.lit(0))
+    return F.transform(found, lambda s: F.struct(
+        F.regexp_replace(F.regexp_replace(F.regexp_replace(s, VERSION, "#"), NO_WORD, " "), r"\bhttps\b", "http").alias("norm"),
         F.regexp_extract(s, VERSION, 0).alias("version")))
 
 
@@ -98,8 +136,9 @@ def scan_licences(
 ) -> DataFrame:
     """All columns with ``sentence_ids`` (in order, joined by blanks) and ``licences`` (sorted, distinct, joined by blanks).
 
-    Sentences end at a line end or at .!?;: before something that is neither letter nor digit. Normalised ones that are known
-    become identifiers with their version, others vanish. Rules are tried in
+    A known sentence stands between two line ends or signs .!?;: before something that is neither letter nor digit. It may be
+    wrapped, with comment signs in front of its lines, and hold : and ;. Known sentences
+    become identifiers with their version, all else vanishes. Rules are tried in
     their order, longest sequences first; what a rule matches is used up. A rule
     whose identifiers don't follow each other isn't met. Missing texts are empty and
     have no licence. Rows are independent: nothing is shuffled, repeated rows have equal results, no rows
@@ -108,7 +147,7 @@ def scan_licences(
     sentences, rules = sentences or SENTENCES, rules or RULES
     known = F.create_map(*[F.lit(x) for item in sentences.items() for x in item])
     ids = F.transform(
-        F.filter(sentences_of(whole(text)), lambda s: s["norm"].isin(*sentences)),
+        sentences_of(whole(text), sentences),
         lambda s: F.concat(F.element_at(known, s["norm"]), F.lit("@"), s["version"]))
     hinted = F.when(whole(text).rlike(hint), ids).otherwise(F.array().cast("array<string>"))
     out = docs.withColumn("sentence_ids", F.array_join(hinted, " "))
