@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm import chat, exact, extract, licences, mixing, packing, secret_scan, simhash, statements, tiles, toxicity
+from meterline.llm import (
+    chat, exact, extract, langid, licences, mixing, negatives, packing, repair, secret_scan, simhash, statements, tiles, toxicity,
+)
 from meterline.llm.settings import cycling_weights, is_held_out, tokenizer_path
 from meterline.llm.shared import table
 
@@ -69,6 +71,22 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), cycling_weights, carry=["doc_id"]).drop("repeats")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(repair.repair(repair.damage(table(spark, sf_dir, "conversations"))))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(given, F.col("vec_id") % 50 == 0)
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    network = langid.learn(docs.where(~is_held_out()))
+    return langid.identify(docs, network, carry=["doc_id"]).select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,6 +104,9 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_licence_scan": op9_licence_scan,
     "op10_source_mixing": op10_source_mixing,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_language_id": op13_language_id,
     "pipeline": pipeline,
 }
 SQL = statements.SQL

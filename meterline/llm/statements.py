@@ -138,10 +138,102 @@ def _licences() -> str:
     """
 
 
+_NEGATIVES = """
+    WITH whole AS (
+        SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+            list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+        FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+    ), pairs AS (
+        SELECT a.vec_id AS anchor_id, a.label AS anchor_label, c.vec_id, c.label, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+        FROM whole a, whole c WHERE a.vec_id % 50 = 0
+    ), positives AS (
+        SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs
+        WHERE label = anchor_label AND vec_id <> anchor_id
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+    )
+    SELECT anchor_id, positive_id,
+        CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+        vec_id AS negative_id, positive_score, score AS negative_score
+    FROM positives JOIN pairs USING (anchor_id)
+    WHERE label <> anchor_label AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+    QUALIFY rank <= 3
+"""
+
+
+def _repair() -> str:
+    """A table of the least cost and edits from every row and state on, made from the last row to the first."""
+    def put(role: str, rest: str) -> str:
+        return f"{{'c': {rest}.c + 3, 'a': 'I' || {rest}.a, 't': '{role}:' || chr(10) || {rest}.t}}"
+
+    def least(*ways: str) -> str:
+        return f"list_sort([{', '.join(ways)}])[1]"
+
+    def closed(g: str) -> str:
+        from_start = put("user", f"{g}[3]"), put("user", f"({put('assistant', f'{g}[4]')})")
+        return ", ".join((least(f"{g}[1]", *from_start), least(f"{g}[2]", *from_start),
+                          least(f"{g}[3]", put("assistant", f"{g}[4]")), least(f"{g}[4]", put("user", f"{g}[3]"))))
+
+    never = "{'c': 1000000, 'a': '', 't': ''}"
+    line = "|| ':' || r.text || chr(10) ||"
+    extra = "CASE WHEN fault = 3 THEN 3 ELSE 0 END"
+    steps = []
+    for state, (kept, role, after) in enumerate((
+            ({"s": 2, "u": 3}, "user", 3), ({"u": 3}, "user", 3), ({"a": 4}, "assistant", 4), ({"u": 3}, "user", 3)), 1):
+        ways = [f"{{'c': f[{state}].c + 4, 'a': 'D' || f[{state}].a, 't': f[{state}].t}}",
+                f"CASE WHEN fault IN (1, 2) THEN {never} ELSE {{'c': f[{after}].c + 3 + {extra}, 'a': 'R' || f[{after}].a, 't': '{role}' {line} f[{after}].t}} END"]
+        ways += [f"CASE WHEN fault NOT IN (1, 2) AND initial = '{initial}' THEN {{'c': f[{to}].c + {extra}, 'a': 'K' || f[{to}].a, 't': r.role {line} f[{to}].t}} ELSE {never} END"
+                 for initial, to in kept.items()]
+        steps.append(least(*ways))
+    crc = ("xor(list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, length(k) + 1), "
+           "lambda i: [CAST(ord(k[i]) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), "
+           "lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295)")
+    given = "{'c': 0, 'a': '', 't': ''}"
+    return f"""
+    WITH RECURSIVE named AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+    ), fated AS (SELECT *, {crc} % 20 AS fate FROM named), damaged AS (
+        SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+            CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+        FROM fated, unnest(CASE WHEN fate = 3 THEN [0, 1] ELSE [0] END) WHERE fate <> 0
+    ), placed AS (
+        SELECT *, row_number() OVER w AS pos, role[1] AS initial, lag(role[1]) OVER w AS before,
+            row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS copy,
+            regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*\\z', 1) AS last_char
+        FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+    ), coded AS (
+        SELECT *, CASE WHEN last_char = '' THEN 1
+            WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 2 WHEN last_char NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault
+        FROM placed
+    ), counted AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+            count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+            count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM coded GROUP BY conv_id
+    ), each AS (
+        SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+            coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(n, 0) AS n
+        FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counted o ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+    ), walk AS (
+        SELECT conv_id, n AS i, [{closed(f"[{given}, {never}, {never}, {given}]")}] AS f FROM each
+        UNION ALL
+        SELECT conv_id, i - 1, [{closed("g")}] FROM (
+            SELECT w.conv_id, i, [{', '.join(steps)}] AS g
+            FROM walk w JOIN coded r ON w.conv_id IS NOT DISTINCT FROM r.conv_id AND r.pos = w.i
+        )
+    )
+    SELECT e.conv_id, CAST(gaps AS BIGINT) AS gaps, blank, duplicate, truncated, illegal, CAST(f[1].c AS BIGINT) AS cost,
+        f[1].a AS audit, sha256(left(f[1].t, greatest(length(f[1].t) - 1, 0))) AS repaired_sha256
+    FROM each e JOIN walk w ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND i = 0
+    """
+
+
 SQL = {
     "op1_chat_formatting": _chat(),
     "op6_embedding_dedup": _TILES,
     "op7_exact_dedup": _EXACT,
     "op8_secret_scan": _secrets(),
     "op9_licence_scan": _licences(),
+    "op11_conversation_repair": _repair(),
+    "op12_hard_negatives": _NEGATIVES,
 }
