@@ -7,14 +7,10 @@ from pyspark.sql import functions as F
 from meterline.catalog.registry import POSITIONS, READINGS, SERIES, query, rnd, rounded
 from meterline.operators import features, neighbours, splits, trees
 from meterline.operators.accuracy import metrics
-from meterline.operators.trees import TreeParams
 from meterline.plans import models, views
-from meterline.session import KEY, scratch_path
+from meterline.session import KEY, scratch_path, stored
 from meterline.sources import tables
 
-# Budgets of the registered queries; the defaults of the functions are those of the reference.
-FIRST = TreeParams(rounds=4, max_depth=3, learning_rate=0.3)
-FINAL = TreeParams(rounds=10, max_depth=4, learning_rate=0.1)
 NEIGHBOURS = 50
 
 
@@ -45,37 +41,32 @@ def knn_forecast(spark, sf):
 
 
 def _matrix(spark, sf):
-    return views.matrix(spark, sf, n=4).persist()
+    return stored(views.matrix(spark, sf), "matrix")
 
 
 @query("tree_train_eval")
 def tree_train_eval(spark, sf):
-    """Features chosen by importance, refit, measures on the last tenth, next to the naive ones."""
+    """Features chosen, parameters tuned, models refitted with the published budget; measures on the last tenth, next to the naive ones."""
     matrix = _matrix(spark, sf)
-    trained = models.train_sites(matrix, FIRST, FINAL, top=20)
-    judged = models.evaluate_sites(matrix, trained, matrix)
+    root = scratch_path(spark, "training")
+    models.save_sites(models.train_sites(matrix, trials=trees.TUNING_TRIALS), root)
+    judged = models.evaluate_sites(matrix, models.load_sites(spark, root).models, matrix)
     plain = matrix.select(*KEY, "ts", F.col("`ap+1`").alias("y"), F.col("`ap-96`").alias("p"))
     base = metrics(splits.held_out(plain)).select(*KEY, F.col("mae").alias("naive_day_mae"))
-    return judged.join(base, list(KEY))
+    last = features.naive(views.grid(spark, sf))
+    return judged.join(base, list(KEY)).join(metrics(splits.held_out(last)).select(*KEY, F.col("mae").alias("naive_mae")), list(KEY))
 
 
 @query("tree_importance")
 def tree_importance(spark, sf):
-    matrix = _matrix(spark, sf)
-    return models.importance_table(matrix, models.train_sites(matrix, FIRST, FIRST, top=10))
+    """The 50 most important of all features in a fit of 200 rounds."""
+    return models.feature_ranks(models.choose_sites(_matrix(spark, sf)))
 
 
 @query("tree_tuning")
 def tree_tuning(spark, sf):
-    """Random search on all consumption sites together, with one record per trial."""
-    matrix = views.matrix(spark, sf, n=2).where("etype = 'consumption'")
-    split = splits.ratio_split(matrix, mode="cuts").persist()
-    names = models.features_of(matrix)
-    best, records = trees.tune_trees(
-        split.where("split = 'train'"), split.where("split = 'val'"), names, "ap+1", trials=3, rounds=5, patience=2
-    )
-    table = trees.records_frame(spark, records)
-    return table.withColumn("best", F.col("trial") == min(records, key=lambda r: r["mae"])["trial"])
+    """Random search of 30 trials a site, each up to 1,000 rounds with a patience of 20, one record per trial."""
+    return trees.tune(models.choose_sites(_matrix(spark, sf))).select(*KEY, "trial", "params.*", F.col("rounds").alias("best_rounds"), "mae", "built", "status", "best")
 
 
 @query("tree_inference")
@@ -89,9 +80,8 @@ def tree_inference(spark, sf):
         "select 'production' as etype, 2 as site_id, timestamp'2024-01-05' as start_ts, timestamp'2024-01-08' as end_ts"
     )
     root = scratch_path(spark, "models")
-    models.save_sites(models.train_sites(matrix, FIRST, FIRST, top=10, periods=periods), root)
-    trained = models.load_sites(root, trees.site_list(matrix))
-    return models.infer_sites(matrix, trained, now="2024-01-28 10:07:00", delay_days=1)
+    models.save_sites(models.train_sites(matrix, periods=periods), root)
+    return models.infer_sites(matrix, models.load_sites(spark, root).models, now="2024-01-28 10:07:00", delay_days=1)
 
 
 REALTIME_END = "TIMESTAMP '2024-01-27 10:00:00'"
@@ -141,13 +131,10 @@ def realtime_window(spark, sf):
 
 @query("experiment_grid")
 def experiment_grid(spark, sf):
-    flags = {"n": 4, "horizon": 1, "calendar": False, "weather": False}
-    entries = [
-        {"model": "naive", **flags, "stats": False},
-        {"model": "naive", **flags, "horizon": 4, "stats": False},
-        {"model": "trees", **flags, "stats": False},
-        {"model": "trees", **flags, "stats": True},
-    ]
-    return models.compare_models(views.grid(spark, sf), None, entries, TreeParams(rounds=3, max_depth=3), folds=1)
-
-
+    """Naive forecasts, nearest neighbours and trees over inputs, horizons and flags, on two expanding folds."""
+    plain = {"calendar": False, "stats": False, "weather": False}
+    flags = [plain | {name: True for name in names} for names in ((), ("calendar",), ("stats",), ("weather",), tuple(plain))]
+    entries = [{"model": "naive", "n": 8, "horizon": h, **plain} for h in (1, 4, 8, 12)]
+    entries += [{"model": "trees", "n": n, "horizon": h, **f} for n in (8, 96) for h in (1, 4, 8, 12) for f in flags if n == 8 or f == plain]
+    entries += [{"model": "knn", "n": 8, "horizon": h, **plain} for h in (1,)]
+    return models.compare_models(views.grid(spark, sf), views.weather15(spark, sf), entries)

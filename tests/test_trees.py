@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from helpers import frame, series
 from meterline.operators import trees
 from meterline.operators.features import feature_matrix
+from meterline.operators.histograms import grow, leaves
 from meterline.operators.trees import TreeParams
 from meterline.plans import models
 from meterline.sources.tables import extract
@@ -21,9 +22,10 @@ def matrix(spark):
 
 
 def test_training_evaluation_and_inference(spark, matrix, path):
-    trained = models.train_sites(matrix, TreeParams(rounds=3, max_depth=3), TreeParams(rounds=12, max_depth=4, learning_rate=0.2), top=6)
-    assert [m.site for m in trained] == [("consumption", 1), ("consumption", 2)]
-    assert all(len(m.features) <= 6 and set(m.models) == {"ap+1", "ap+2"} for m in trained)
+    done = models.train_sites(matrix, TreeParams(rounds=3, max_depth=3), TreeParams(rounds=12, max_depth=4, learning_rate=0.2), top=6)
+    trained = done.models
+    assert {(r.site_id, r.target) for r in trained.collect()} == {(s, t) for s in (1, 2) for t in ("ap+1", "ap+2")}
+    assert all(len(r.features) <= 6 and len(r.roots) == 12 for r in trained.collect())
     sites = matrix.select("etype", "site_id").unionByName(spark.createDataFrame([("production", 9)], "etype string, site_id int"))
     judged = models.evaluate_sites(matrix, trained, sites).collect()
     assert {(r.site_id, r.target) for r in judged} == {(s, t) for s in (1, 2, 9) for t in ("ap+1", "ap+2")}
@@ -35,30 +37,89 @@ def test_training_evaluation_and_inference(spark, matrix, path):
     next_step = models.infer_sites(matrix, trained, now="2024-01-10 10:07:00", delay_days=1).collect()
     assert {str(r.ts) for r in next_step} == {"2024-01-09 10:00:00"} and len(next_step) == 2
     assert models.infer_sites(matrix, trained, next_step_only=False, test_only=True).count() == test.count()
-    models.save_sites(trained, path)
-    stored = models.load_sites(path, [m.site for m in trained], ["ap+1", "ap+2"])
-    assert [m.features for m in stored] == [m.features for m in trained]
-    again = models.infer_sites(matrix, stored, now="2024-01-10 10:07:00", delay_days=1).collect()
+    models.save_sites(done, path)
+    stored = models.load_sites(spark, path)
+    assert sorted(r.features for r in stored.models.collect()) == sorted(r.features for r in trained.collect())
+    again = models.infer_sites(matrix, stored.models, now="2024-01-10 10:07:00", delay_days=1).collect()
     assert sorted(again) == sorted(next_step)
-    table = models.importance_table(matrix, trained)
-    assert table.where("rank = 1").count() == 4
+    assert done.features.where("rank = 1").count() == 2
+    assert stored.features.count() == done.features.count()
+    done.features.where("rank > 1 or site_id = 2").write.mode("overwrite").json(f"{path}/features")
+    with pytest.raises(ValueError, match="disagree"):
+        models.load_sites(spark, path)
 
 
 def test_removed_periods_train_nothing(spark, matrix):
     gone = spark.sql("select 'consumption' as etype, 1 as site_id, cast(null as timestamp) as start_ts, cast(null as timestamp) as end_ts")
     trained = models.train_sites(matrix, TreeParams(rounds=1, max_depth=2), TreeParams(rounds=1, max_depth=2), top=2, periods=gone)
-    assert [m.site for m in trained] == [("consumption", 2)]
-
-
-def test_save_and_load(matrix, path):
-    model = trees.fit_trees(matrix.where("site_id = 1"), ["ap-0", "hour-0"], "ap+1", TreeParams(rounds=2, max_depth=2))
-    where = trees.model_path(path, "consumption", 1)
-    trees.save_model(model, where)
-    again = trees.load_model(where)
-    rows = matrix.where("site_id = 1")
-    a, b = (trees.predict(m, rows).agg(F.sum("p")).first()[0] for m in (model, again))
-    assert a == b
-    assert trees.feature_importance(again)[0][0] in ("ap-0", "hour-0")
+    assert {r.site_id for r in trained.models.collect()} == {2}
+
+
+def test_one_tree_is_the_best_of_all_cuts():
+    rng = np.random.default_rng(1)
+    for l1, l2, least in ((0.0, 1.0, 1), (0.7, 0.0, 5), (1.0, 5.0, 20)):
+        codes = rng.integers(0, 9, (7, 400)).astype("u1")
+        label = rng.normal(size=400) + (codes[2] > 4) + (codes[5] > 1)
+        worth = lambda g, n: max(abs(g) - l1, 0) ** 2 / (n + l2)
+        found = max(
+            (worth(-label[c <= b].sum(), (c <= b).sum()) + worth(-label[c > b].sum(), (c > b).sum()), -f, -b)
+            for f, c in enumerate(codes) for b in range(9) if min((c <= b).sum(), (c > b).sum()) >= least)
+        tree = grow(codes, -label, np.arange(7), 9, 1, 1.0, least, 0.0, l1, l2)
+        assert (-tree.feature[0], -tree.cut[0]) == found[1:]
+        assert np.isclose(tree.gain[0], found[0] - worth(-label.sum(), 400))
+        left = codes[tree.feature[0]] <= tree.cut[0]
+        value = label[left].sum()
+        assert np.isclose(tree.value[1], np.sign(value) * max(abs(value) - l1, 0) / (left.sum() + l2))
+        assert np.allclose(leaves(tree, codes), np.where(left, tree.value[1], tree.value[2]))
+
+
+def test_trees_fit_any_function_of_the_codes():
+    codes = np.stack(np.meshgrid(np.arange(16), np.arange(16))).reshape(2, -1).astype("u1")
+    label = ((codes[0] // 3) ** 2 + codes[1] // 5).astype(float)
+    margin = np.zeros(256)
+    made = list(trees.boosted(codes, label, margin, TreeParams(max_depth=5, learning_rate=0.5, l2=0.0), 16, 0, 40))
+    assert np.abs(margin - label).max() < 1e-3
+    half, whole = np.zeros(256), np.zeros(256)
+    params = TreeParams(max_depth=3, subsample=0.7, colsample=0.5)
+    first = list(trees.boosted(codes, label, half, params, 16, 0, 5)) + list(trees.boosted(codes, label, half, params, 16, 5, 12))
+    second = list(trees.boosted(codes, label, whole, params, 16, 0, 12))
+    assert len(made) == 40 and (half == whole).all() and all((a.value == b.value).all() for a, b in zip(first, second, strict=True))
+
+
+def packed_of(rows, names=("ap-0", "ap-1", "hour-0"), targets=("ap+1",)):
+    return trees.pack(models.ratio_split(rows, mode="cuts"), list(names), list(targets))
+
+
+def test_forecasts_follow_from_the_rows_themselves(spark, matrix):
+    names = ["ap-0", "ap-1", "hour-0"]
+    made = trees.fit(packed_of(matrix, names), TreeParams(rounds=7, max_depth=4))
+    got = trees.predict(matrix, made, ["ap+1", "ap+2"]).toPandas().sort_values(["site_id", "ts"])
+    rows = matrix.toPandas().sort_values(["site_id", "ts"])
+    assert len(got) == len(rows) and got["pred_t+2"].isna().all()
+    for model in made.collect():
+        mine = rows[rows.site_id == model.site_id]
+        for i in (0, 5, 99, len(mine) - 1):
+            x, total = mine.iloc[i][model.features].to_list(), model.base
+            for node in model.roots:
+                while model.feature[node] >= 0:
+                    node = model.left[node] + (x[model.feature[node]] > model.threshold[node])
+                total += model.value[node]
+            assert np.isclose(total, got[got.site_id == model.site_id].iloc[i]["pred_t+1"])
+
+
+def test_jobs_do_not_follow_the_sites(spark):
+    def jobs(sites):
+        rows = feature_matrix(frame(spark, series(300, sites=range(1, sites + 1))), n=2, previous_days=0, stats_on=False, calendar_on=False).persist()
+        rows.count()
+        spark.sparkContext.setJobGroup(f"sites-{sites}", "count")
+        done = models.train_sites(rows, TreeParams(rounds=2, max_depth=2), TreeParams(rounds=2, max_depth=2), top=2)
+        found = models.evaluate_sites(rows, done.models)
+        assert found.count() == sites
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        rows.unpersist()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"sites-{sites}"))
+
+    assert abs(jobs(3) - jobs(60)) <= 2  # Spark may broadcast a small table instead of shuffling it
 
 
 def test_search_is_seeded_and_stops():
@@ -67,30 +128,24 @@ def test_search_is_seeded_and_stops():
     for t in range(50):
         p = trees.sample_params(t, 10)
         assert 3 <= p.max_depth <= 10 and 0.01 <= p.learning_rate <= 0.1 and 0.6 <= p.subsample <= 1.0
+        assert 0 <= p.l1 <= 1 and 0 <= p.l2 <= 5 and 0.6 <= p.colsample <= 1.0
     assert trees.best_rounds([5, 4, 3, 3.5, 3.2, 1], patience=2) == (3, 3)
     assert trees.best_rounds([5, 4, 3], patience=20) == (3, 3)
 
 
 def test_tuning(matrix):
-    rows = matrix.where("site_id = 1")
-    cut = models.ratio_split(rows, mode="cuts").persist()
-    best, records = trees.tune_trees(
-        cut.where("split = 'train'"), cut.where("split = 'val'"), ["ap-0", "ap-1", "hour-0"], "ap+1", trials=2, rounds=4
-    )
-    assert len(records) == 2 and best.rounds <= 4
-    assert min(r["mae"] for r in records) == [r["mae"] for r in records if r["max_depth"] == best.max_depth][0]
-
-
-def test_doubling_stops_where_the_full_fit_would(matrix):
-    cut = models.ratio_split(matrix.where("site_id = 1"), mode="cuts").persist()
-    train, val = cut.where("split = 'train'"), cut.where("split = 'val'")
-    names = ["ap-0", "ap-1", "hour-0"]
-    _, records = trees.tune_trees(train, val, names, "ap+1", trials=2, rounds=16, patience=1)
-    for r in records:
-        model = trees.fit_trees(train, names, "ap+1", trees.sample_params(r["trial"], 16))
-        rows = model.stages[0].transform(val.withColumn("label", F.col("`ap+1`"))).select("features", "label")
-        used, error = trees.best_rounds(trees.trees_of(model).evaluateEachIteration(rows, "absolute"), 1)
-        assert r["rounds"] == used and np.isclose(r["mae"], error)
+    packed = packed_of(matrix)
+    records = trees.tune(packed, trials=6, rounds=16, patience=3, first=4).toPandas()
+    assert records.groupby("site_id").size().to_dict() == {1: 6, 2: 6} and set(records.status) <= {"stopped", "halved", "full"}
+    assert (records.status == "halved").any() and (records.built[records.status == "full"] == 16).all()
+    # A trial that went on from its stored margins has the errors of one that was never interrupted.
+    straight = trees.tune(packed, trials=6, rounds=16, patience=3, first=16).toPandas()
+    both = records.merge(straight, on=["site_id", "trial"])
+    ended = both[both.status_x != "halved"]
+    assert len(ended) and (ended.mae_x == ended.mae_y).all() and (ended.rounds_x == ended.rounds_y).all()
+    for _, mine in records.groupby("site_id"):
+        assert mine.best.sum() == 1 and mine.mae[mine.best].iloc[0] == mine.mae.min()
+    assert trees.best_params(trees.tune(packed, trials=2, rounds=4), 9).select("params.rounds").distinct().collect()[0][0] == 9
 
 
 def test_experiment_grid(spark):
