@@ -73,7 +73,7 @@ FROM k WHERE k = 1""",
 def shed_sites(spark, sf):
     cents = views.grid(spark, sf).withColumn("p", F.round(F.col("ap") * 100))
     caps = cents.where("etype = 'consumption'").groupBy("ts").agg(F.floor(F.sum("p") / 2).cast("double").alias("cap"))
-    chosen = decide.shed(cents.where("etype = 'production'"), caps)
+    chosen = decide.shed(cents.where("etype = 'production'"), caps, resolution=1)
     text = lambda c: F.array_join(F.transform(c, lambda s: s.cast("string")), ",")
     return chosen.withColumns({"kept": text("kept"), "shed": text("shed")})
 

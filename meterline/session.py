@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,12 +69,33 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
+#: Paths that the open ``passing_tables`` blocks have to delete.
+_PASSING: list[list[str]] = []
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``stored`` writes inside the block are deleted at its end, but for those it is told to keep."""
+    paths: list[str] = []
+    _PASSING.append(paths)
+    try:
+        yield
+    finally:
+        _PASSING.remove(paths)
+        jvm = spark._jvm
+        for path in paths:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def stored(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame:
     """Write the rows once as a table in the shared folder and read them back from there.
 
     For a reduced result that several later steps read, so that the raw rows behind it are scanned
-    once; a lost executor costs a read and no recomputation.
+    once; a lost executor costs a read and no recomputation. ``keep`` takes the table out of ``passing_tables``.
     """
     path = scratch_path(df.sparkSession, name)
+    if _PASSING and not keep:
+        _PASSING[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
