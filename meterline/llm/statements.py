@@ -65,9 +65,7 @@ _EXACT = """
 
 
 def _secrets() -> str:
-    word = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) + tail for w, tail in (
-        ("password", ""), ("passwd", ""), ("secret", ""), ("token", "")))
-    assign = rf"""({word}|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    assign = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
     kinds = [("assign", assign, 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24), ("issued", ISSUED, 0, 1)]
     found = " UNION ALL ".join(f"""
         SELECT doc_id, owner, {rank} AS rank, '{kind}' AS kind, length(value) AS size, starts + length(whole) - length(value) AS "from",
@@ -85,9 +83,10 @@ def _secrets() -> str:
     WITH texts AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
     found AS ({found}),
     shared AS (
-        SELECT value, count(DISTINCT coalesce('=' || owner, '-')) AS owners FROM found GROUP BY value
+        SELECT value, count(DISTINCT coalesce('=' || owner, '-')) >= 3 OR count(DISTINCT coalesce('=' || doc_id, '-')) >= 10 AS example
+        FROM found GROUP BY value
     ), judged AS (
-        SELECT found.*, owners, owners < 3 AND length(value) >= 16 AND regexp_matches(value, '[0-9]')
+        SELECT found.*, example, NOT example AND length(value) >= 16 AND regexp_matches(value, '[0-9]')
             AND regexp_matches(value, '[A-Za-z]') AS live
         FROM found JOIN shared USING (value)
     ), spans AS (
@@ -99,7 +98,7 @@ def _secrets() -> str:
             string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, rank, "end") FILTER (kind <> 'live') AS base,
             string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, rank, "end") AS spans
         FROM spans GROUP BY doc_id
-    ), examples AS (SELECT doc_id, count(*) FILTER (owners >= 3) AS n_example FROM judged GROUP BY doc_id)
+    ), examples AS (SELECT doc_id, count(*) FILTER (example) AS n_example FROM judged GROUP BY doc_id)
     SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
         sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
         coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import string
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -12,6 +13,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,20 +21,35 @@ from pyspark.sql import types as T
 from meterline.llm.shared import in_batches, own
 from meterline.session import stored
 
-# Letters that look like Latin ones, and digits and signs that stand for letters.
-HOMOGLYPHS = dict(zip("аеорсухіѕјԁԛһкмтвнαεορτυνικ", "aeopcyxisjdqhkmtbhaeoptuvik", strict=True))
+# Lower-case letters that look like Latin ones, by script, and digits and signs that stand for letters.
+CYRILLIC = dict(zip("аеорсухіѕјԁԛһкмтвнԝьпгґ", "aeopcyxisjdqhkmtbhwbnrr", strict=True))
+GREEK = dict(zip("αβεηικμνοπρστυχωςϲϳ", "abenikuvonpstuxwscj", strict=True))
+ARMENIAN = dict(zip("օսհոցզյա", "ouhngqjw", strict=True))
+LATIN = dict(zip("ıłøđħŧðɑɡɩʟɴʀɪʏʙɢʜᴀᴄᴅᴇᴊᴋᴍᴏᴘᴛᴜᴠᴡᴢꜰꜱ", "ilodhtdagilnriybghacdejkmoptuvwzfs", strict=True))
 DIGITS = dict(zip("013457", "oieast", strict=True))
 SIGNS = dict(zip("@$!", "asi", strict=True))
+#: White letters on black circles and squares have no decomposition of their own.
+_ENCLOSED = {chr(first + i): letter for first in (0x1F150, 0x1F170) for i, letter in enumerate(string.ascii_lowercase)}
+_LOOKALIKES = str.maketrans(CYRILLIC | GREEK | ARMENIAN | LATIN | _ENCLOSED)
 _LEET = str.maketrans(DIGITS | SIGNS)
-_BEFORE_LETTER = re.compile(r"[013457@$!]+(?=[^\W\d_])")
-_BLANKED = dict.fromkeys(string.punctuation + "¡¿«»“”„‘’‚…–—·•", " ")
-_CLEANED = str.maketrans(_BLANKED | HOMOGLYPHS)
+#: Substitutes before a letter; behind one, if no other digit follows. A ! there ends a sentence.
+_SUBSTITUTES = re.compile(r"[013457@$!]+(?=[^\W\d_])|(?<=[^\W\d_])[013457@$]+(?!\d)")
+_BLANKED = str.maketrans(dict.fromkeys(string.punctuation + "¡¿«»“”„‘’‚…–—·•", " "))
+#: Accents, variation selectors and signs without width.
+_MARKS = regex.compile(r"[\u0300-\u036F\u1AB0-\u1AFF\u1DC0-\u1DFF\u20D0-\u20FF\uFE00-\uFE0F\uFE20-\uFE2F\p{Cf}]+")
+
+
+def _letters(text: str) -> str:
+    """Lower case; wide, mathematical and accented letters as plain ones, homoglyphs as Latin letters, no signs without width."""
+    if text.isascii():
+        return text.lower()
+    return _MARKS.sub("", unicodedata.normalize("NFKD", text).lower()).translate(_LOOKALIKES)
 
 
 def fold(text: str) -> str:
-    """Lower case, digits and signs before a letter as letters, homoglyphs as Latin letters, words between single blanks."""
-    low = _BEFORE_LETTER.sub(lambda m: m[0].translate(_LEET), text.lower())
-    return " " + " ".join(low.translate(_CLEANED).split()) + " "
+    """Plain lower-case letters, digits and signs beside a letter as letters, words between single blanks."""
+    low = _SUBSTITUTES.sub(lambda m: m[0].translate(_LEET), _letters(text))
+    return " " + " ".join(low.translate(_BLANKED).split()) + " "
 
 
 @dataclass
@@ -66,7 +83,14 @@ def hits(folded: str, automaton: ahocorasick.Automaton) -> list[tuple[int, float
             spared.append((at, end))
         else:
             best[at] = max(weight, best.get(at, -math.inf))
-    return [(at, w) for at, w in sorted(best.items()) if not any(a <= at < b for a, b in spared)]
+    found, spared, i, reach = [], sorted(spared), 0, -1
+    for at, weight in sorted(best.items()):
+        while i < len(spared) and spared[i][0] <= at:
+            reach = max(reach, spared[i][1])
+            i += 1
+        if at >= reach:
+            found.append((at, weight))
+    return found
 
 
 def measures(text: str | None, automaton: ahocorasick.Automaton) -> tuple[float, float, float]:
@@ -182,10 +206,10 @@ def _spared(sample: DataFrame, lexicon: Lexicon, least: int = 3) -> list[str]:
             for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
                 folded, found = fold(text.as_py() or ""), set()
                 for at, _ in hits(folded, automaton):
-                    word, _, after = folded[at + 1:at + 200].partition(" ")
-                    before = folded[max(0, at - 100):at].rpartition(" ")[2]
-                    found |= {f"{before} {word}"} if before else set()
-                    found |= {f"{word} {after.split(' ')[0]}"} if after.strip() else set()
+                    end = folded.index(" ", at + 1)
+                    before, after = folded.rfind(" ", 0, at), folded.find(" ", end + 1)
+                    found |= {folded[before + 1:end]} if before >= 0 else set()
+                    found |= {folded[at + 1:after]} if after >= 0 else set()
                 pairs += sorted(found)
                 labels += [toxic.as_py()] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.string()), pa.array(labels, pa.int32())], names=["pair", "toxic"])
