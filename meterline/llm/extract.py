@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -54,8 +55,8 @@ WEAK_MARKS = frozenset(
 OUTER_MARKS = frozenset("header masthead topbar topnav".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    r"""|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
-    r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>", re.S)
+    # A quote opens a value only behind =, so that an apostrophe in a bare value is a letter of it.
+    r"""|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+)>""", re.S)
 _LOOSE = re.compile(r"<(?:/?[a-zA-Z!?][^<]*|/?)\Z")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _UNSEEN = re.compile(r"""\bstyle\s*=\s*["']?[^"'>]*\b(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
@@ -67,16 +68,22 @@ _BLANKS = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 
 
-@dataclass
+@dataclass(eq=False)
 class Element:
-    """An open or closed element: its parent, its path of tags and whether it can hold main text."""
+    """An open or closed element: its parent, the number of its path of tags and whether it can hold main text."""
 
     name: str
     parent: Element | None
-    path: str
+    path: int
     shut: bool
     inside: bool  # within an article or main element
     mark: str = ""  # ! or !!: bears a class or id that marks what may not be the article
+    depth: int = 0
+    linked: bool = False  # in a link, with inline elements alone between
+    holder: Element = field(init=False)  # itself, or what its inline elements stand in
+
+    def __post_init__(self) -> None:
+        self.holder = self.parent.holder if self.parent and self.name in INLINE else self
 
 
 @dataclass
@@ -104,21 +111,26 @@ def _marks(rest: str, inside: bool) -> tuple[bool, str]:
     return shut, mark
 
 
-def _element(name: str, rest: str, parent: Element) -> Element:
+def _element(name: str, rest: str, parent: Element, paths: dict[tuple[int, str], int]) -> Element:
     shut, mark = parent.shut or name in NEVER or (name == "header" and not parent.inside), ""
     if not shut and name not in ("html", "body", "main") and rest:
         shut, mark = _marks(rest, parent.inside)
         if name in INLINE or name in ARTICLE or _HEADING.match(name):
             mark = ""
     # Blocks of a marked element have a path, and so a ratio, of their own.
-    return Element(name, parent, f"{parent.path}/{name}{mark}", shut, parent.inside or name in ARTICLE, mark)
+    path = paths.setdefault((parent.path, name + mark), len(paths) + 1)
+    linked = name in INLINE and (name == "a" or parent.linked)
+    return Element(name, parent, path, shut, parent.inside or name in ARTICLE, mark, parent.depth + 1, linked)
 
 
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order, with the elements they stand in."""
-    root = Element("", None, "", False, False)
+    root = Element("", None, 0, False, False)
     here, block, blocks = root, Block(root), []
+    paths: dict[tuple[int, str], int] = {}
+    opened: Counter[str] = Counter()
     at, size = 0, len(page)
+    stop = page.rfind(">") + 1
 
     def border(new: Element) -> None:
         nonlocal block
@@ -129,83 +141,69 @@ def blocks_of(page: str) -> list[Block]:
     def say(text: str) -> None:
         if text and not here.shut:
             block.parts.append(text)
-            if any_link(here):
+            if here.linked:
                 block.linked += len(text)
 
-    def any_link(e: Element) -> bool:
-        while e is not root and e.name in INLINE:
-            if e.name == "a":
-                return True
-            e = e.parent
-        return False
-
-    def holder(e: Element) -> Element:
-        while e.name in INLINE:
-            e = e.parent
-        return e
-
     def leave(e: Element) -> None:
         nonlocal here
-        here = e.parent
+        while here is not e.parent:
+            opened[here.name] -= 1
+            here = here.parent
         if e.name not in INLINE or e.shut != here.shut:
-            border(holder(here))
+            border(here.holder)
 
     while at < size:
-        token = _TOKEN.search(page, at)
+        token = _TOKEN.search(page, at, stop)
         if not token:
             loose = _LOOSE.search(page, at)
             say(page[at:loose.start() if loose else size])
             break
         say(page[at:token.start()])
         at = token.end()
-        name = (token["name"] or token["name2"] or "").lower()
+        name = (token["name"] or "").lower()
         if not name:
+            if token[0].startswith("<!--") and not token[0].endswith("-->"):
+                break
             if token[0].startswith("<![CDATA["):
                 say(token[0][9:-3].replace("&", "&amp;"))
             continue
-        if token["end"] or token["end2"]:
+        if token["end"]:
             e = here
-            while e is not root and e.name != name:
+            while opened[name] and e is not root and e.name != name:
                 # A closing tag doesn't reach out of a cell or an article.
                 e = root if e.name in ("td", "th", "article", "main") and name in INLINE else e.parent
-            if e is not root:
-                inner = here
-                while inner is not e:
-                    inner = inner.parent
+            if opened[name] and e is not root:
                 leave(e)
             continue
-        if name in ENDS_P or name in ENDS_SAME:
-            e = here
-            while e is not root and (e.name in INLINE or e.name == "p" and name in ENDS_P or e.name == name and name in ENDS_SAME):
-                if e.name not in INLINE:
-                    leave(e)
-                    break
-                e = e.parent
-        rest = token["rest"] or token["rest2"] or ""
+        over = here.holder
+        if over.name == "p" and name in ENDS_P or over.name == name and name in ENDS_SAME:
+            leave(over)
+        rest = token["rest"]
         if name in VOID:
             if name == "br":
                 say(" ")
             elif name not in INLINE:
-                border(holder(here))
+                border(here.holder)
             continue
         if rest.endswith("/") and name in ("svg", "path"):
             continue
-        new = _element(name, rest, here)
+        new = _element(name, rest, here, paths)
         if name in RAW:
             closing = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = closing.end() if closing else size
             if name not in INLINE:
-                border(holder(here))
+                border(here.holder)
             continue
         changed = new.shut != here.shut
         here = new
+        opened[name] += 1
         if name not in INLINE or changed:
-            border(holder(here))
+            border(here.holder)
     border(root)
     return blocks
 
 
-def path_scores(paths: list[str], lengths: list[int], points: list[int], radius: int = 1) -> np.ndarray:
+def path_scores(paths: list[int], lengths: list[int], points: list[int], radius: int = 1) -> np.ndarray:
     """The fused ratio of each block: text and punctuation per block of its path, smoothed along the page."""
     names, index = np.unique(paths, return_inverse=True)
     n = np.bincount(index, minlength=len(names))
@@ -221,21 +219,34 @@ def path_scores(paths: list[str], lengths: list[int], points: list[int], radius:
     return smooth(text) * np.log1p(smooth(marks) + 1)
 
 
-def _around(e: Element | None) -> Iterator[Element]:
-    while e is not None:
-        yield e
-        e = e.parent
+def _elements(blocks: list[Block]) -> list[Element]:
+    """The elements blocks stand in, parents before those inside them."""
+    found: dict[Element, None] = {}
+    for block in blocks:
+        e: Element | None = block.at
+        while e is not None and e not in found:
+            found[e] = None
+            e = e.parent
+    return sorted(found, key=lambda e: e.depth)
 
 
-def _held(blocks: list[Block], sizes: list[int]) -> tuple[dict[int, int], dict[int, Element]]:
+def _held(blocks: list[Block], sizes: list[int], elements: list[Element]) -> dict[Element, int]:
     """Text by element, with all the elements inside it."""
-    held: dict[int, int] = {}
-    elements: dict[int, Element] = {}
+    held = dict.fromkeys(elements, 0)
     for block, size in zip(blocks, sizes, strict=True):
-        for e in _around(block.at):
-            held[id(e)] = held.get(id(e), 0) + size
-            elements[id(e)] = e
-    return held, elements
+        held[block.at] += size
+    for e in reversed(elements):
+        if e.parent:
+            held[e.parent] += held[e]
+    return held
+
+
+def _passed_down(elements: list[Element], start, of) -> dict:
+    """Per element a value made of it and its parent's."""
+    values = {None: start}
+    for e in elements:
+        values[e] = of(e, values[e.parent])
+    return values
 
 
 def main_text(page: str | None, spread: float = 0.5) -> str:
@@ -252,46 +263,56 @@ def main_text(page: str | None, spread: float = 0.5) -> str:
     blocks = [b for b, _ in found]
     lengths = [max(0, len(t) - min(len(t), b.linked)) for b, t in found]
     scores = path_scores([b.at.path for b in blocks], lengths, [len(_PUNCTUATION.findall(t)) for _, t in found])
-    held, elements = _held(blocks, lengths)
+    elements = _elements(blocks)
+    held = _held(blocks, lengths, elements)
     # Beside an article or main element no other part of the page is the most of it.
-    articles = {id(a) for e in elements.values() if e.name in ARTICLE for a in _around(e)}
-    weighed = {i: PENALTIES[e.mark] for i, e in elements.items()
-               if e.mark and not (2 * held[i] > sum(lengths) and (not articles or e.inside or i in articles))}
-    marked = [next((e for e in _around(b.at) if id(e) in weighed), None) for b in blocks]
-    scores = scores * [min((weighed.get(id(e), 1.0) for e in _around(b.at)), default=1.0) for b in blocks]
+    articles = _held(blocks, [0] * len(blocks), elements)
+    for e in reversed(elements):
+        articles[e] += e.name in ARTICLE
+        if e.parent:
+            articles[e.parent] += articles[e]
+    root = elements[0]
+    weighed = {e: PENALTIES[e.mark] for e in elements
+               if e.mark and not (2 * held[e] > held[root] and (not articles[root] or e.inside or articles[e]))}
+    nearest = _passed_down(elements, None, lambda e, above: e if e in weighed else above)
+    factor = _passed_down(elements, 1.0, lambda e, above: min(above, weighed.get(e, 1.0)))
+    marked = [nearest[b.at] for b in blocks]
+    scores = scores * [factor[b.at] for b in blocks]
     limit = min(spread * float(scores.std()), 0.5 * float(scores.max()))
     linked = [n < len(t) / 2 for n, (_, t) in zip(lengths, found, strict=True)]
     # The neighbours' text must not carry a list of links over the threshold.
     content = [s >= limit and not (link and s < scores.max()) for s, link in zip(scores, linked, strict=True)]
 
-    held, elements = _held(blocks, [n if c else 0 for n, c in zip(lengths, content, strict=True)])
-    total = held[id(next(e for e in _around(blocks[0].at) if e.parent is None))]
-    bounds = [e for i, e in elements.items() if e.name in ARTICLE and 2 * held[i] > total]
-    bound = min(bounds, key=lambda e: e.path.count("/"), default=None)
-    inside = [bound is None or any(e is bound for e in _around(b.at)) for b in blocks]
+    held = _held(blocks, [n if c else 0 for n, c in zip(lengths, content, strict=True)], elements)
+    bounds = [e for e in elements if e.name in ARTICLE and 2 * held[e] > held[root]]
+    bound = min(bounds, key=lambda e: e.depth, default=None)
+    within = _passed_down(elements, bound is None, lambda e, above: above or e is bound)
+    inside = [within[b.at] for b in blocks]
     content = [c and i for c, i in zip(content, inside, strict=True)]
     # What all content blocks stand in.
     home = bound
     if home is None:
-        common = None
-        for block, c in zip(blocks, content, strict=True):
-            if c:
-                above = {id(e) for e in _around(block.at)}
-                common = [e for e in (_around(block.at) if common is None else common) if id(e) in above]
-        home = common[0]
+        amount = _held(blocks, content, elements)
+        home = max((e for e in elements if amount[e] == amount[root]), key=lambda e: e.depth)
+    at_home = _passed_down(elements, False, lambda e, above: above or e is home)
+    headed = _passed_down(elements, False, lambda e, above: above or bool(_HEADING.match(e.name)))
+    # Marked elements with content from a block on.
+    ahead: set[Element | None] = set()
+    followed = [False] * len(blocks)
+    for i in reversed(range(len(blocks))):
+        if content[i]:
+            ahead.add(marked[i])
+        followed[i] = marked[i] in ahead
     first = content.index(True)
 
     def short(i: int) -> bool:
         return inside[i] and marked[i] is None and not linked[i]
 
     def heading(i: int) -> bool:
-        if not inside[i] or not any(_HEADING.match(e.name) for e in _around(blocks[i].at)):
-            return False
         # One in a marked element goes with the content behind it there.
-        return not marked[i] or any(c and m is marked[i] for c, m in zip(content[i:], marked[i:], strict=True))
+        return inside[i] and headed[blocks[i].at] and (not marked[i] or followed[i])
 
-    keep = [c or (heading(i) or i > first and short(i)) and any(e is home for e in _around(blocks[i].at))
-            for i, c in enumerate(content)]
+    keep = [c or (heading(i) or i > first and short(i)) and at_home[blocks[i].at] for i, c in enumerate(content)]
     # The head: from the nearest heading on, over short blocks.
     start = first
     while start > 0 and (heading(start - 1) or short(start - 1)):
