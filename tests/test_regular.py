@@ -2,10 +2,12 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.errors import SparkRuntimeException
+from pyspark.sql import functions as F
 
 from helpers import frame, series, sorted_pandas
 from meterline.operators import regular
 from meterline.operators.chunks import fill
+from meterline.session import stored
 
 
 def readings(spark, rows):
@@ -128,3 +130,14 @@ def test_zero_grid_sum_spans_the_whole_group(spark):
     assert sorted_pandas(regular.zero_grid_sum(rows, groups), "ts")["ap"].tolist() == [1, 1, 0, 0, 0, 0, 5, 5]
     left_out = groups.where("site_key = 'b'").select("site_key")
     assert regular.zero_grid_sum(rows, groups, left_out).count() == 2
+
+
+def test_grid_is_not_broadcast_for_its_small_files(spark):
+    """300,000 steps of zeros are some kilobytes as files, but many megabytes once collected for a broadcast."""
+    rows = stored(spark.range(300_000).selectExpr(
+        "id div 300 as k", "timestamp_seconds(1704067200 + (id % 300) * 1800) as ts", "0.0D as ap"))
+    grid = regular.regular_grid(rows, ["k"])
+    plan = grid._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    got = grid.groupBy("k").agg(F.count("*").alias("n"), F.count("ap").alias("known"))
+    assert [tuple(r) for r in got.select("n", "known").distinct().collect()] == [(599, 300)]
