@@ -31,7 +31,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, five-word shingles alike by 0.8 or more, the one with the smallest doc_id."""
+    """One document of each group of near copies, the one with the smallest doc_id.
+
+    Near copies have SimHash fingerprints at three bits or fewer, as in op3, or five-word shingles alike by 0.8 or more.
+    """
     rows, row = sealed(docs)
     return nearcopies.near_copies(rows, carry=[row]).where("kept").select(f"{row}.*")
 

@@ -1,4 +1,4 @@
-"""Near copies by the exact similarity of their word shingles, candidates from SimHash blocks and MinHash bands."""
+"""Near copies by SimHash fingerprints, and by the exact similarity of word shingles for those that fingerprints can't reach."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from meterline.llm.components import components
 from meterline.llm.shared import in_batches, numbered, own, sized
-from meterline.llm.simhash import BITS
+from meterline.llm.simhash import BITS, fingerprint_links, with_fingerprints
 from meterline.session import passing_tables, stored
 
 #: Shingles multiplied at once, so that a text of any length needs bounded memory.
@@ -103,13 +103,17 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_copies(
     docs: DataFrame, key: str = "doc_id", text: str = "text", carry: list[str] | None = None, words: int = 5,
     similarity: float = 0.8, bands: int = 24, each: int = 5, distance: int = 3, spare: int = 3, pivots: int = 1, seed: int = 42,
+    shingle: int = 3,
 ) -> DataFrame:
     """The columns ``carry`` (all by default) with ``component_id, kept``.
 
-    Two texts are linked if their sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more, which is
-    computed exactly for every candidate. Candidates agree in a SimHash block choice (all pairs up to ``distance``
+    Two texts are linked if their SimHash fingerprints over ``shingle``-word shingles differ in ``distance`` bits or fewer, as in
+    ``simhash.near_duplicates``: all such pairs, whatever the similarity.
+
+    Fingerprints can't reach all near copies, so two texts are also linked if their sets of ``words``-word shingles have a Jaccard
+    similarity of ``similarity`` or more, which is computed exactly for every candidate. Candidates agree in a SimHash block choice (all pairs up to ``distance``
     bits do) or in a band of ``each`` out of ``bands * each`` MinHash values: a pair at the threshold 0.8 does with
-    probability 1 - (1 - 0.8^5)^24 = 0.9999. ``component_id`` is the smallest key reachable, and one
+    probability 1 - (1 - 0.8^5)^24 = 0.9999. ``component_id`` is the smallest key reachable by links of either kind, and one
     row of each component is ``kept``, as in ``simhash.near_duplicates``.
 
     The distance 1 - similarity is a metric, so a bucket needs few comparisons. In each of ``pivots`` rounds one row of each open bucket, the
@@ -126,6 +130,8 @@ def near_copies(
     texts = rows.select(F.col(number).alias("node"), F.col(body).alias("text"))
     buckets = Buckets(bands, each, distance, spare, seed)
     with passing_tables(spark):
+        prints = stored(with_fingerprints(texts, name="fingerprint", keep=["node"], shingle=shingle, seed=seed), "fingerprints")
+        close = stored(fingerprint_links(prints, distance, spare), "close")
         members = stored(_mapped(texts, "text", "keys", lambda t: buckets(shingles_of(t, words, seed))), "buckets")
         keyed_rows = members.select("node", F.explode("keys").alias("key"))
         heads = keyed_rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
@@ -170,7 +176,7 @@ def near_copies(
             (F.col("a") < F.col("b")) & (F.col("root") != F.col("other")) & alike & near).select("a", "b").distinct()
         found = stored(_compared(pairs, sets), "compared")
         same = classes.where("node <> class").select(F.col("class").alias("a"), F.col("node").alias("b"))
-        links = stored(links.unionByName(found.where(F.col("distance") <= 1 - similarity).select("a", "b")).unionByName(same), "links")
+        links = stored(links.unionByName(found.where(F.col("distance") <= 1 - similarity).select("a", "b")).unionByName(same).unionByName(close), "links")
         n = 2 * links.count()
         roots = stored(sized(components(links), n), "roots", keep=True)
 

@@ -101,6 +101,21 @@ def close_pairs(prints: DataFrame, distance: int = 3, spare: int = 3) -> DataFra
     ).select(F.col("l.fingerprint").alias("a"), F.col("r.fingerprint").alias("b"))
 
 
+def fingerprint_links(prints: DataFrame, distance: int = 3, spare: int = 3) -> DataFrame:
+    """``a, b``: links that join the rows (longs ``node, fingerprint``) as ``near_duplicates`` does.
+
+    The rows of a fingerprint hang on the first of them; the first rows of fingerprints at
+    ``distance`` bits or fewer are linked with each other.
+    """
+    heads = stored(prints.groupBy("fingerprint").agg(F.min("node").alias("head")), "heads")
+    close = stored(close_pairs(heads.select("fingerprint"), distance, spare), "close")
+    first = heads.select(F.col("fingerprint").alias("a"), F.col("head").alias("head_a"))
+    second = heads.select(F.col("fingerprint").alias("b"), F.col("head").alias("head_b"))
+    between = close.join(first, "a").join(second, "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    copies = prints.join(heads, "fingerprint").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    return between.unionByName(copies)
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", carry: list[str] | None = None,
     distance: int = 3, spare: int = 3, shingle: int = 3, seed: int = 42,

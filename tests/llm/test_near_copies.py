@@ -6,7 +6,7 @@ from llm_cases import AWKWARD, docs
 
 import corpus_pipeline
 from meterline.llm import nearcopies
-from meterline.llm.simhash import fingerprint_of
+from meterline.llm.simhash import fingerprint_of, near_duplicates
 
 
 def jaccard(a, b, words=5):
@@ -41,6 +41,36 @@ def test_stage_finds_near_copies_beyond_three_bits(spark):
     assert sorted(r.doc_id for r in got) == sorted(set(least)) and got[0].__fields__ == table.columns
 
 
+def test_stage_links_by_fingerprints(spark):
+    """Fingerprints at three bits or fewer link, also where shingles are unlike, and chain with links by similarity."""
+    def mostly(phrase, n, tail):
+        return " ".join([phrase] * n + [f"{tail}{i}" for i in range(25)])
+
+    texts = [mostly(f"p{f} q{f} r{f}", 60 + 60 * k, f"t{f}x{k}_") for f in range(6) for k in range(4)]
+    texts += [texts[0] + " and some more words", *[t for s in range(5) for t in family(s, 3)]]
+    near = {}
+    for i in range(len(texts)):
+        for j in range(i):
+            bits, alike = (fingerprint_of(texts[i]) ^ fingerprint_of(texts[j])).bit_count() <= 3, jaccard(texts[i], texts[j]) >= 0.8
+            if bits or alike:
+                near[i, j] = bits, alike
+    assert sum(b and not a for b, a in near.values()) > 10 and any(a and not b for b, a in near.values())
+    least = list(range(len(texts)))
+    for _ in range(len(texts)):
+        for i, j in near:
+            least[i] = least[j] = min(least[i], least[j])
+    got = corpus_pipeline.drop_near_copies(spark, docs(spark, list(enumerate(texts))), "")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(least))
+
+
+def test_stage_drops_what_op3_drops(spark):
+    rows = [*AWKWARD, (20, "a b c " * 300 + "one end"), (21, "a b c " * 300 + "another end of it"), (22, "a b c " * 200)]
+    table = docs(spark, rows)
+    alone = {r.doc_id for r in near_duplicates(table).where("kept").collect()}
+    stage = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, table, "").collect()}
+    assert stage <= alone and {20, 21, 22} - stage == {21, 22}
+
+
 def test_chains_and_unlike_texts_of_a_bucket(spark):
     """Links that the bucket's smallest row has no part in are found, pairs below the threshold are none."""
     base = [f"w{i}" for i in range(200)]
